@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import quality, rules, simhash, substrings, toxicity, warc
+from parchment.llm import graphs, mixing, quality, rollups, rules, sentencepiece_sampling, simhash, substrings, toxicity, warc
+from parchment.llm.store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert every document's count, delete exact copies, and commit the second batch twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
+    rollup.apply(1, rollups.counted(docs, "byte_bpe_50k"))
+    rollup.apply(2, rollups.copies(docs, "byte_bpe_50k"))
+    rollup.apply(2, rollups.copies(docs, "byte_bpe_50k"))
+    return rollup.totals()
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encoded(table(spark, sf_dir, "documents"), k=2, with_ids=False)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    out = mixing.mixed(docs)
+    return out.select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        "weight", "probability", "sampled",
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(rules.ledger(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -31,6 +55,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +68,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op5_quality_rules, op6_quality_classifier, op7_substring_dedup, op9_simhash, op10_warc]
+    found = [
+        op1_toxicity, op2_token_counts, op3_sentencepiece, op4_mixing, op5_quality_rules, op6_quality_classifier,
+        op7_substring_dedup, op8_embeddings, op9_simhash, op10_warc,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -114,3 +114,13 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the least id of their component, one row for an id; rows with a null id stay."""
+    near = near_duplicates(docs, id_col, text_col)
+    kept = near.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    own = docs.join(kept, F.col(id_col) == F.col("_kept")).drop("_kept")
+    order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
+    first = own.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first.unionByName(docs.where(F.col(id_col).isNull()))

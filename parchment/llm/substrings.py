@@ -33,7 +33,7 @@ GRAM = 5
 #: Occurrences from which a minimiser's windows are dealt one by one.
 CROWD = 20_000
 #: Passages in an automaton's shard, at least; a minimiser's passages stay in one shard.
-SHARD = 4000
+SHARD = 256
 
 CLASSES = whitespace_classes()
 
@@ -269,3 +269,38 @@ def without_repeats(
     marked = keyed.join(starts, ["id", "sig"], "left").select("id", "sig", "text", "starts")
     schema = f"id {kind}, sig int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * (not digest_only)
     return marked.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated windows removed from the text; all columns and rows stay.
+
+    A text that loses nothing stays as it is; of another, the words left are joined by single spaces, and a column
+    n_chars, if there is one, becomes the length of the new text. Null texts stay null.
+    """
+    names = docs.columns
+    starts = repeated_starts(docs, id_col, text_col).withColumnsRenamed({"id": "_id", "sig": "_sig", "starts": "_starts"})
+    sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.withColumn("_own_sig", sig)
+    marked = marked.join(starts, (marked[id_col] == starts["_id"]) & (marked["_own_sig"] == starts["_sig"]), "left")
+    marked = marked.select(*names, "_starts")
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                texts = [
+                    b" ".join(kept_words(text.as_buffer().to_pybytes(), own.values.to_numpy())[1])
+                    if own.is_valid and text.is_valid
+                    else (text.as_buffer().to_pybytes() if text.is_valid else None)
+                    for text, own in zip(part.column(at), part.column(len(names)), strict=True)
+                ]
+                columns = list(part.columns)[: len(names)]
+                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = marked.mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        length = F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col))
+        out = out.withColumn("n_chars", length.cast(kind))
+    return out
