@@ -37,6 +37,8 @@ class Graph:
     exact: np.ndarray  # float64
     unit: np.ndarray  # float32
     levels: list[tuple[np.ndarray, np.ndarray]]  # members, links as positions among all vectors
+    first: np.ndarray  # all links of the lowest level in both directions: where a node's begin, and their ends
+    ends: np.ndarray
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -72,6 +74,10 @@ def linked_level(unit: np.ndarray, members: np.ndarray, seed: int) -> np.ndarray
             kept[rows[use], count[use]] = near[use, c]
             taken[use, c] = True
             count[use] += 1
+        for c in range(k):  # places left go to the nearest that the rule passed over
+            use = np.flatnonzero(~taken[:, c] & (count < KEEP))
+            kept[rows[use], count[use]] = near[use, c]
+            count[use] += 1
     out[:, :KEEP] = kept
     source, slot = np.nonzero(kept >= 0)
     target = kept[source, slot]
@@ -94,10 +100,15 @@ def build(ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> Graph:
     while True:
         levels.append((members, linked_level(unit, members, len(levels))))
         if len(members) <= 64:
-            return Graph(ids, weight, exact, unit, levels)
+            break
         draw = mix(draw)
         up = members[draw[members] % np.uint64(STEP_UP) == 0]
         members = up if len(up) else members[:1]
+    node, slot = np.nonzero(levels[0][1] >= 0)
+    other = levels[0][1][node, slot].astype(np.int64)
+    pair = np.unique(np.concatenate([node * len(ids) + other, other * len(ids) + node]))
+    first = np.searchsorted(pair // len(ids), np.arange(len(ids) + 1))
+    return Graph(ids, weight, exact, unit, levels, first, (pair % len(ids)).astype(np.int32))
 
 
 def beam_search(
@@ -169,11 +180,10 @@ def search(g: Graph, q: np.ndarray, exact_q: np.ndarray, least: float, beam: int
     while len(r):
         more_r, more_c = [], []
         for a in range(0, len(r), 20_000):
-            near_nodes = links[c[a : a + 20_000]]
-            rows = np.repeat(r[a : a + 20_000], near_nodes.shape[1])
-            nodes = near_nodes.ravel().astype(np.int64)
-            ok = nodes >= 0
-            rows, nodes = rows[ok], nodes[ok]
+            own_r, own_c = r[a : a + 20_000], c[a : a + 20_000]
+            n_ends = g.first[own_c + 1] - g.first[own_c]
+            take = np.arange(n_ends.sum()) + np.repeat(g.first[own_c] - (np.cumsum(n_ends) - n_ends), n_ends)
+            rows, nodes = np.repeat(own_r, n_ends), g.ends[take].astype(np.int64)
             ok = ~spread[rows, nodes]
             flat = np.unique(rows[ok] * n + nodes[ok])
             rows, nodes = flat // n, flat % n

@@ -101,10 +101,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = hashed.select(
         "id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(repeats, F.array_sort(keys)).alias("keys")
     )
-    n = F.when(F.col("keys").isNotNull(), _repeat_words(F.col("keys"))).otherwise(0)
-    return keyed.select(
-        "id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", n.cast("long").alias("n_repeat_words")
-    )
+    n = F.when(F.col("keys").isNotNull(), _repeat_words(F.col("keys"))).otherwise(0).cast("long")
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    # a generator of one row: a filter on the measurements would else be pushed below, and evaluate them again and again
+    row = F.struct(*names, n.alias("n_repeat_words"))
+    return keyed.select("id", F.explode(F.array(row)).alias("m")).select("id", "m.*")
 
 
 def ledger(
