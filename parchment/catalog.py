@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from parchment.plans import documents  # noqa: F401
+    from parchment.plans import documents, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
