@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.llm.components import components
-from parchment.llm.store import written
+from parchment.llm.store import fresh, written
 
 SEED = 42
 
@@ -119,8 +119,9 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the least id of their component, one row for an id; rows with a null id stay."""
     near = near_duplicates(docs, id_col, text_col)
-    kept = near.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    own = docs.join(kept, F.col(id_col) == F.col("_kept")).drop("_kept")
+    n, own_id = fresh(docs, "_n"), fresh(docs, "_kept")
+    kept = near.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(own_id)).distinct()
+    own = docs.join(kept, F.col(id_col) == F.col(own_id)).drop(own_id)
     order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
-    first = own.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    first = own.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
     return first.unionByName(docs.where(F.col(id_col).isNull()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.store import written
+from parchment.llm.store import fresh, written
 from parchment.llm.text import buffers, mix, pieces, whitespace_classes, words
 
 WINDOW = 13
@@ -278,11 +278,10 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_chars, if there is one, becomes the length of the new text. Null texts stay null.
     """
     names = docs.columns
-    starts = repeated_starts(docs, id_col, text_col).withColumnsRenamed({"id": "_id", "sig": "_sig", "starts": "_starts"})
+    own_id, own_sig, marks = (fresh(docs, x) for x in ("_id", "_sig", "_starts"))
+    starts = repeated_starts(docs, id_col, text_col).withColumnsRenamed({"id": own_id, "sig": own_sig, "starts": marks})
     sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_own_sig", sig)
-    marked = marked.join(starts, (marked[id_col] == starts["_id"]) & (marked["_own_sig"] == starts["_sig"]), "left")
-    marked = marked.select(*names, "_starts")
+    marked = docs.join(starts, (F.col(id_col) == F.col(own_id)) & (sig == F.col(own_sig)), "left").select(*names, marks)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
