@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; a single longer text is one piece.
-PIECE_BYTES = 2 << 20
+#: Bytes of text that are worked on at once, which bounds a worker's memory; a single longer text is one piece.
+PIECE_BYTES = 1 << 18
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +125,18 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         begin = end
 
 
+def word_hashes(texts: pa.Array, classes: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin; worked out piece by piece."""
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for part in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        found = words(*buffers(part.column(0)), classes, lower)
+        parts.append(found.hashes)
+        counts.append(found.counts)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of each text's values; 0 for texts without any."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
