@@ -74,7 +74,6 @@ def fit(
     seed: int = 7,
 ) -> Model:
     """FTRL-Proximal over rows in a seeded order; both labels weigh alike in sum."""
-    keys, first = features(texts, bits, ngram)
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     share = max(labels.mean(), 1e-9) if len(labels) else 0.5
@@ -84,10 +83,11 @@ def fit(
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
     sparse = []
-    for k in range(len(labels)):
-        own = keys[first[k] : first[k + 1]]
-        index, count = np.unique(own, return_counts=True)
-        sparse.append((index, count * scale(len(own))))
+    for part in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        keys, first = features(part.column(0), bits, ngram)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            index, count = np.unique(keys[a:b], return_counts=True)
+            sparse.append((index, count * scale(b - a)))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(len(labels)):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.labels import fold, training_rows
-from parchment.llm.text import buffers, letter_classes, pieces, words
+from parchment.llm.text import letter_classes, pieces, word_hashes
 
 CLASSES = letter_classes(punctuation=False)
 WIDTHS = (1, 2, 3)
@@ -24,8 +24,8 @@ WIDTHS = (1, 2, 3)
 
 def hashed(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each word (A-Z in lower case, punctuation apart), and where each text's words begin."""
-    found = words(*buffers(texts), CLASSES, lower=True)
-    return (found.hashes >> np.uint64(64 - bits)).astype(np.int64), found.first
+    hashes, first = word_hashes(texts, CLASSES, lower=True)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64), first
 
 
 def padded(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +64,11 @@ class Model:
         return np.concatenate(parts, axis=1)
 
     def margins(self, texts: pa.Array, tables: dict[int, np.ndarray]) -> np.ndarray:
-        ids, first = hashed(texts, self.bits)
-        if not len(texts):
-            return np.zeros(0)
-        return self.pooled(self.rows[ids], first, tables) @ self.out + self.out_bias
+        parts = [np.zeros(0)]
+        for part in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            ids, first = hashed(part.column(0), self.bits)
+            parts.append(self.pooled(self.rows[ids], first, tables) @ self.out + self.out_bias)
+        return np.concatenate(parts)
 
     def score(self, texts: pa.Array, tables: dict[int, np.ndarray]) -> np.ndarray:
         a, b = self.platt
@@ -194,7 +195,7 @@ def calibrate(model: Model, texts: pa.Array, labels: np.ndarray, langs: list[str
         model.thresholds[lang] = best(score[own], y[own], 0.5) if y[own].sum() >= 20 else 0.5
 
 
-def trained(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most: int = 4000) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most: int = 6000) -> Model:
     """Fit on at most ``most`` labelled rows outside the held-out fold; only their texts reach the driver."""
     rows = training_rows(docs, labels, "toxic", folds, held_out, most, carry=("lang",)).toArrow().sort_by("id")
     return fit(rows["text"].combine_chunks(), rows["label"].to_numpy(), rows["lang"].to_pylist())
