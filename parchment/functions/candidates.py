@@ -32,15 +32,19 @@ def matches(text: Column, pattern: str) -> Column:
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """``array<struct<kind, start, text>>`` of all matches.
 
-    Starts follow from the lengths of what lies between matches, so one split and one extraction are all that is run.
+    Starts follow from the lengths of what lies between matches: one split, one extraction and one fold over both.
     """
-    found = matches(text, pattern)
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    lens = F.transform(found, lambda x: F.length(x))
-    start = lambda i: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(
-        F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x
-    )
-    return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("start"), x.alias("text")))
+    parts = F.zip_with(F.split(text, pattern, -1), matches(text, pattern), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
+    kinds = "struct<at:int,found:array<struct<kind:string,start:int,text:string>>>"
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,text:string>>").alias("found")).cast(kinds)
+
+    def step(acc: Column, part: Column) -> Column:
+        start = acc["at"] + part["gap"]
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), part["text"].alias("text"))
+        more = F.struct((start + F.length(part["text"])).alias("at"), F.array_append(acc["found"], one).alias("found")).cast(kinds)
+        return F.when(part["text"].isNull(), acc).otherwise(more)
+
+    return F.aggregate(parts, nothing, step, lambda acc: acc["found"])
 
 
 def tax_ids(text: Column) -> Column:

@@ -81,8 +81,8 @@ def checked(
     p, src = F.col(parsed_col), F.col(source)
     rows = rows.withColumns({
         "_tax": F.nullif(text.digits(p["counterparty_tax_id"]), F.lit("")),
-        "_dates": F.size(candidates.dates(src)) > 0,
-        "_amounts": F.size(candidates.amounts(src)) > 0,
+        "_dates": src.rlike(candidates.DATE),
+        "_amounts": src.rlike(candidates.AMOUNT),
         "_currency": text.currency(p["currency"]),
     })
     name_ok = candidates.occurs_in(p["counterparty_name"], src, F.col(normal_name), F.col(normal_source))
