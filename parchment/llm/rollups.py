@@ -122,9 +122,14 @@ class Rollup:
 
 
 def copies(docs: DataFrame, version: str) -> DataFrame:
-    """Deletes for documents whose whole text an earlier document has (null texts apart)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("sha")).where("doc_id is not null and sha is not null")
-    first = keyed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    """Deletes for documents whose whole text an earlier document has (null texts apart).
+
+    A row goes unless its id is the least of its text. That is asked by id and text, never by text alone, so a group of
+    copies, however large, is spread over all tasks.
+    """
+    sha = F.unhex(F.sha2("text", 256))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("sha")).where("doc_id is not null and sha is not null")
+    first = keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
     none = F.lit(None).cast("string")
-    gone = keyed.join(first, "sha").where("doc_id > first").select("doc_id").distinct()
+    gone = keyed.join(first, ["doc_id", "sha"], "left_anti").select("doc_id").distinct()
     return gone.select("doc_id", F.lit("delete").alias("op"), none.alias("source"), none.alias("lang"), F.lit(version).alias("version"), F.lit(0).cast("long").alias("tokens"))
