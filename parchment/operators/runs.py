@@ -78,18 +78,33 @@ class State:
 
 
 def take_inventory(state: State, input_path: str, **options: object) -> None:
-    """Add the files and documents that aren't known; the first mapping of a path stays."""
+    """Add the files and documents of an archive that aren't known; the first mapping of a path stays."""
+    seconds = float(options.pop("timeout", fixed.EXTRACT_SECONDS))
+    found = archive.entries(state.spark, input_path, **options)
+    add_files(state, found, input_path, f"{time.time_ns():020d}", seconds, int(options.get("partitions", 8)))
+
+
+def add_files(state: State, found: DataFrame, root: str, batch: str, seconds: float = fixed.EXTRACT_SECONDS, partitions: int = 8) -> None:
+    """Add hashed files as one batch. Known paths are left alone, and known bytes are not read again.
+
+    Documents are written before the files that name them: a batch that broke off between is completed by the next.
+    """
     now = F.current_timestamp()
-    found = archive.inventory(archive.entries(state.spark, input_path, **options))
-    batch = f"{time.time_ns():020d}"
-    scan = f"{state.root}/_writing/scan-{batch}"
-    found.write.mode("overwrite").parquet(scan)
-    found = state.spark.read.parquet(scan)
-    first = found.groupBy("document_id").agg(F.min_by(F.struct("identity_kind", "reason", "source_text"), "path").alias("f"))
-    docs = first.select(F.col("document_id").alias("id"), "f.identity_kind", F.col("f.reason").alias("quarantine_reason"), "f.source_text", now.alias("created_at"))
+    known = state.read("files")
+    fresh = state_table(state, absent(found, known, "path"), f"scan-{batch}")
+    by_bytes = known.groupBy("byte_sha256").agg(F.min(F.struct("document_id", "content_source")).alias("k")).select("byte_sha256", "k.*")
+    unread = fresh.join(by_bytes.select("byte_sha256"), "byte_sha256", "left_anti")
+    taken = state_table(state, archive.texts(unread, root, seconds, partitions), f"texts-{batch}")
+    rows = archive.inventory(unread, taken)
+    first = rows.groupBy("document_id").agg(F.min_by(F.struct("identity_kind", "reason", "byte_sha256"), "path").alias("f"))
+    docs = first.select(F.col("document_id").alias("id"), "f.identity_kind", F.col("f.reason").alias("quarantine_reason"), "f.byte_sha256")
+    docs = docs.join(taken.select("byte_sha256", "source_text"), "byte_sha256", "left").withColumn("created_at", now)
     state.append("inventory", absent(docs, state.read("inventory"), "id"), batch)
-    state.append("files", absent(found.withColumn("discovered_at", now), state.read("files"), "path"), batch)
-    state.fs.delete(state.path(scan), True)
+    again = fresh.join(by_bytes, "byte_sha256")
+    names = ["path", "format", "byte_sha256", "size_bytes", "document_id", "content_source"]
+    state.append("files", rows.select(names).unionByName(again.select(names)).withColumn("discovered_at", now), batch)
+    for name in ("scan", "texts"):
+        state.fs.delete(state.path(f"{state.root}/_writing/{name}-{batch}"), True)
 
 
 def run(

@@ -1,4 +1,8 @@
-"""A Spark data source over an archive: a folder, or a ZIP that is never unpacked."""
+"""A Spark data source over an archive: a folder, or a ZIP that is never unpacked.
+
+Files are hashed first, in one pass that holds a chunk at a time. Text is then taken once from each distinct content, so an
+archive of copies costs one extraction for each group of them.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,10 +22,9 @@ from parchment.functions import fixed
 from parchment.sources.extract import isolated
 from parchment.sources.formats import detect
 
-ENTRIES = (
-    "path string, format string, byte_sha256 string, size_bytes long, oversized boolean, source_text string, "
-    "normal string, content_source string, reason string"
-)
+#: ``place`` is the name as the archive has it, and ``oversized`` marks what was not read to its end.
+ENTRIES = "path string, place string, format string, byte_sha256 string, size_bytes long, oversized boolean"
+TEXTS = "byte_sha256 string, text_sha256 string, source_text string, content_source string, reason string"
 
 
 class Entries(InputPartition):
@@ -42,10 +46,38 @@ def listed(root: str) -> list[tuple[str, str, int]]:
     raise ValueError("the input must be a directory or a zip archive")
 
 
+class Opened:
+    """The files of an archive by their places; a ZIP is opened once."""
+
+    def __init__(self, root: str) -> None:
+        self.archive = None if os.path.isdir(root) else zipfile.ZipFile(root)
+
+    def __call__(self, place: str) -> object:
+        return self.archive.open(place) if self.archive else open(place, "rb")
+
+
+def hashed(opened: Opened, name: str, place: str, size: int, ceiling: int) -> tuple:
+    """A row of ENTRIES; a file over the ceiling, as declared or as read, or one that can't be read has no hash."""
+    failed = (name, place, "unknown", None, size, True)
+    if size > ceiling:
+        return failed
+    try:
+        with opened(place) as f:
+            head = f.read(fixed.HEAD_BYTES)
+            sha, total = hashlib.sha256(head), len(head)
+            while total <= ceiling and (chunk := f.read(fixed.HASH_CHUNK)):
+                sha.update(chunk)
+                total += len(chunk)
+    except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
+        return failed
+    if total > ceiling:
+        return name, place, "unknown", None, total, True
+    return name, place, detect(head), sha.hexdigest(), total, False
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.root, self.seconds = options["path"], float(options.get("timeout", fixed.EXTRACT_SECONDS))
-        self.parts = int(options.get("partitions", 8))
+        self.root, self.parts = options["path"], int(options.get("partitions", 8))
         self.ceiling = int(options.get("ceiling", fixed.MAX_ENTRY_BYTES))
 
     def partitions(self) -> list[InputPartition]:
@@ -54,35 +86,9 @@ class ArchiveReader(DataSourceReader):
         return [Entries(items[k::n]) for k in range(n)]
 
     def read(self, partition: Entries) -> Iterator[tuple]:
-        archive = None if os.path.isdir(self.root) else zipfile.ZipFile(self.root)
+        opened = Opened(self.root)
         for name, place, size in partition.items:
-            if size > self.ceiling:
-                yield name, "unknown", None, size, True, None, None, "own", "corrupt_file"
-                continue
-            try:
-                with archive.open(place) if archive else open(place, "rb") as f:
-                    kind, sha, total, data = self.materialised(f)
-            except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                yield name, "unknown", None, size, True, None, None, "own", "corrupt_file"
-                continue
-            if total > self.ceiling:
-                yield name, "unknown", None, total, True, None, None, "own", "corrupt_file"
-                continue
-            got = isolated(kind, data, self.seconds)
-            yield name, kind, sha, total, False, got["source_text"], got["normal"], got["content_source"], got["reason"]
-
-    def materialised(self, f) -> tuple[str, str, int, bytes]:  # noqa: ANN001
-        """Format, hash and size of all bytes in one pass; of text formats only the first bytes are held."""
-        head = f.read(fixed.HEAD_BYTES)
-        kind, sha, total, held = detect(head), hashlib.sha256(head), len(head), bytearray(head)
-        room = fixed.TEXT_CAP if kind in ("txt", "html") else self.ceiling if kind != "unknown" else 0
-        while chunk := f.read(fixed.HASH_CHUNK):
-            sha.update(chunk)
-            total += len(chunk)
-            if total > self.ceiling:
-                break
-            held += chunk[: max(0, room - len(held))]
-        return kind, sha.hexdigest(), total, bytes(held)
+            yield hashed(opened, name, place, size, self.ceiling)
 
 
 class ArchiveSource(DataSource):
@@ -102,12 +108,47 @@ def entries(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return spark.read.format("archive").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
-def inventory(rows: DataFrame) -> DataFrame:
+def texts(found: DataFrame, root: str, seconds: float = fixed.EXTRACT_SECONDS, partitions: int = 8) -> DataFrame:
+    """Text, and the hash of its normal form, of each distinct content in ``found``, read at the first path that has it.
+
+    Of text formats only the first bytes are read. A file that is gone by now is a corrupt one.
+    """
+    first = found.where(~F.col("oversized")).groupBy("byte_sha256").agg(F.min_by(F.struct("place", "format"), "path").alias("f"))
+    dealt = first.select("byte_sha256", "f.*").repartition(partitions, "byte_sha256")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                kind, data = row["format"], b""
+                room = fixed.TEXT_CAP if kind in ("txt", "html") else -1
+                try:
+                    if kind != "unknown":
+                        opened = opened or Opened(root)
+                        with opened(row["place"]) as f:
+                            data = f.read(room)
+                    got = isolated(kind, data, seconds)
+                except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                    got = {"source_text": None, "normal": None, "content_source": "own", "reason": "corrupt_file"}
+                sha = hashlib.sha256(got["normal"].encode()).hexdigest() if got["normal"] else None
+                own = {"byte_sha256": row["byte_sha256"], "text_sha256": sha}
+                own |= {k: got[k] for k in ("source_text", "content_source", "reason")}
+                yield pa.RecordBatch.from_pylist([own], schema)
+
+    schema = pa.schema([(name, pa.string()) for name in (x.split()[0] for x in TEXTS.split(", "))])
+    return dealt.mapInArrow(run, TEXTS)
+
+
+def inventory(found: DataFrame, taken: DataFrame) -> DataFrame:
     """Entries with their identity: of the normal form, or of the bytes where there is no text, or of the path where
-    the bytes weren't read."""
-    failed = F.col("reason").isNotNull()
-    identity = F.when(F.col("oversized"), F.sha2("path", 256)).when(failed, F.col("byte_sha256")).otherwise(F.sha2("normal", 256))
+    the bytes weren't read. ``taken`` is what ``texts`` gives for them; the texts themselves stay there."""
+    outcomes = taken.select("byte_sha256", "text_sha256", "content_source", F.coalesce("reason", F.lit("")).alias("_reason"))
+    rows = found.join(outcomes, "byte_sha256", "left")
+    reason = F.when(F.col("oversized"), "corrupt_file").otherwise(F.nullif("_reason", F.lit("")))
+    failed = reason.isNotNull()
+    identity = F.when(F.col("oversized"), F.sha2("path", 256)).when(failed, F.col("byte_sha256")).otherwise(F.col("text_sha256"))
     return rows.select(
         identity.alias("document_id"), "path", "format", F.coalesce("byte_sha256", F.sha2("path", 256)).alias("byte_sha256"),
-        "size_bytes", "content_source", F.when(failed, "bytes").otherwise("text").alias("identity_kind"), "reason", "source_text",
+        "size_bytes", F.coalesce("content_source", F.lit("own")).alias("content_source"),
+        F.when(failed, "bytes").otherwise("text").alias("identity_kind"), reason.alias("reason"),
     )

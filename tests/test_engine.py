@@ -14,6 +14,7 @@ from parchment.functions import candidates, fixed, text
 from parchment.operators import evaluation, inference, ledger, runs, validation, windowing
 from parchment.sources import archive, extract, formats
 from parchment.sources.config import Config, golden, load
+from parchment.streaming import arrivals
 
 
 def column(spark, values, f, kind="string"):
@@ -137,6 +138,11 @@ def corpus(root):
     (root / unicodedata.normalize("NFD", "żółw.txt")).write_text("A third letter")
 
 
+def inventoried(spark, path, **options):
+    found = archive.entries(spark, path, **options)
+    return archive.inventory(found, archive.texts(found, path))
+
+
 def test_archive_folder_and_zip_agree(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
@@ -144,12 +150,12 @@ def test_archive_folder_and_zip_agree(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
         for p in sorted(root.rglob("*.*")):
             z.write(p, p.relative_to(root).as_posix())
-    rows = [archive.inventory(archive.entries(spark, str(p))).orderBy("path").collect() for p in (root, tmp_path / "in.zip")]
+    rows = [inventoried(spark, str(p)).orderBy("path").collect() for p in (root, tmp_path / "in.zip")]
     assert [(r["path"], r["document_id"], r["reason"]) for r in rows[0]] == [(r["path"], r["document_id"], r["reason"]) for r in rows[1]]
     by = {r["path"]: r for r in rows[0]}
     assert by["a.txt"]["document_id"] == by["sub/copy.html"]["document_id"]
     assert by["empty.txt"]["reason"] == "empty_text" and unicodedata.normalize("NFC", "żółw.txt") in by
-    big = archive.inventory(archive.entries(spark, str(root), ceiling=5)).where("path = 'a.txt'").first()
+    big = inventoried(spark, str(root), ceiling=5).where("path = 'a.txt'").first()
     assert big["reason"] == "corrupt_file" and big["format"] == "unknown"
     with pytest.raises(Exception, match="directory or a zip"):
         archive.entries(spark, str(root / "a.txt")).collect()
@@ -192,6 +198,44 @@ def test_run_report_resume_and_eval(spark, tmp_path):
     assert evaluation.summary(pairs).first()["not_found"] == 0
 
 
+def test_copies_are_extracted_once_and_known_bytes_never_again(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    corpus(root)
+    for i in range(6):
+        (root / f"copy{i}.txt").write_bytes((root / "b.txt").read_bytes())
+    found = archive.entries(spark, str(root))
+    taken = archive.texts(found, str(root))
+    assert taken.count() == len({p.read_bytes() for p in root.rglob("*.*")}) == 5
+    state = state_of(spark, tmp_path, "copies")
+    runs.take_inventory(state, str(root))
+    assert (state.read("files").count(), state.documents().count()) == (11, 4)
+    (root / "late.txt").write_bytes((root / "b.txt").read_bytes())
+    (root / "a.txt").write_text("changed")  # the first mapping of a path stays
+    runs.take_inventory(state, str(root))
+    files = {r["path"]: r["document_id"] for r in state.read("files").collect()}
+    assert len(files) == 12 and files["late.txt"] == files["b.txt"] and state.documents().count() == 4
+
+
+def test_stream_of_files_equals_a_scan(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    corpus(root)
+    state, whole = state_of(spark, tmp_path, "stream"), state_of(spark, tmp_path, "scan")
+    go = lambda: arrivals.ingest(state, str(root), f"file://{tmp_path}/checkpoint", files_a_batch=2).awaitTermination()
+    go()
+    (root / "new one.txt").write_text("Another letter")
+    go()
+    go()
+    runs.take_inventory(whole, str(root))
+    rows = lambda s: sorted(tuple(r) for r in s.read("files").select("path", "document_id", "byte_sha256", "format").collect())
+    assert rows(state) == [r for r in rows(whole) if r[0] != "empty.txt"] and len(rows(whole)) == 6
+    runs.take_inventory(state, str(root))
+    assert rows(state) == rows(whole)
+    ids = lambda s: sorted((r["id"], r["status"]) for r in s.documents().collect())
+    assert ids(state) == ids(whole)
+
+
 def test_invalid_answers_are_repaired_once_then_quarantined(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
