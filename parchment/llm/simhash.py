@@ -90,6 +90,19 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
 
 
+def grouped(fps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(id, fp, component_id)`` for each row of ``fps(id, fp)``, joined by equal values and by links between ids."""
+    nodes = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
+    again = fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+    same = fps.join(again.select("id"), "id").join(nodes, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    found = components(pairs.unionByName(same))
+    of_fp = nodes.join(found, nodes["rep"] == found["node"], "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    own = F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
+    return fps.join(of_fp, "fp", "left").select("id", "fp", own)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2
 ) -> DataFrame:
@@ -102,23 +115,18 @@ def near_duplicates(
     empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    again = fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    same = fps.join(again.select("id"), "id").join(nodes, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links(fps, radius).unionByName(same))
-    of_fp = nodes.join(found, nodes["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return fps.join(of_fp, "fp", "left").select(
-        F.col("id").alias(id_col),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
+    return grouped(fps, links(fps, radius)).select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the least id of their component, one row for an id; rows with a null id stay."""
-    near = near_duplicates(docs, id_col, text_col)
+    return firsts(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def firsts(docs: DataFrame, near: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that have the least id of their component in ``near``, one row for an id, and those with a null id."""
     n, own_id = fresh(docs, "_n"), fresh(docs, "_kept")
     kept = near.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(own_id)).distinct()
     own = docs.join(kept, F.col(id_col) == F.col(own_id)).drop(own_id)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchment.llm import (
-    components, graphs, labels, mixing, quality, rollups, rules, sentencepiece_sampling as sampling, simhash, store, substrings, toxicity, warc,
+    components, graphs, labels, minhash, mixing, quality, rollups, rules, sentencepiece_sampling as sampling, simhash, store, substrings, toxicity, warc,
 )
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -462,3 +462,40 @@ def test_pipeline(spark, tmp_path):
         assert passage not in left[32]
     out = sampling.decoded(corpus_pipeline.run(spark, f"file://{tmp_path}")).collect()
     assert {(r["doc_id"], r["decoded"]) for r in out} == set(left.items()) and {r["rank"] for r in out} == {1, 2}
+
+
+def shingles_of(x):
+    w = [t.lower() for t in toks(x)]
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+
+def near_truth(rows):
+    """Components of rows whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = collections.defaultdict(list)
+    for i, x in rows:
+        if i is not None:
+            sets[i].append(shingles_of(x))
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return joined([(a, b) for a in sets for b in sets if a < b and any(near(x, y) for x in sets[a] for y in sets[b])], sets)
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 5])  # the second verifies large buckets block by block
+def test_pipeline_drops_edited_near_copies(docs, empty, spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for k in range(12):
+        w = sentences(rng, 200).split()
+        rows.append((100 + 20 * k, " ".join(w)))
+        for j in range(1, 14):  # up to seven words changed, so some are alike, some only through others, some not
+            e = list(w)
+            for at in rng.sample(range(200), (j + 1) // 2):
+                e[at] = f"edit{j}x{at}"
+            rows.append((100 + 20 * k + j, " ".join(e)))
+    want = near_truth(rows)
+    assert sum(i != c for i, c in want.items()) > 60 and sum(i == c for i, c in want.items() if i >= 100) > 12
+    planted = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, planted, "").collect()]
+    assert sorted(x for x in got if x is not None) == sorted(i for i, c in want.items() if i == c)
+    assert got.count(None) == sum(i is None for i, _ in rows)
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
