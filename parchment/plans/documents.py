@@ -195,6 +195,42 @@ def occurs_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "item_id", candidates.occurs_in(F.lit(None).cast("string"), F.col("text"), F.col("v"), F.col("n")).alias("occurs"))
 
 
+#: Bytes of benchmark text that are sent to every task at once; a larger benchmark is taken in as many passes as it needs.
+ITEM_BYTES = 1 << 24
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id, item_id)`` of every item that is a part of a document, both by their normal forms."""
+    n = docs.where("text is not null").select("doc_id", text.normalized(F.col("text")).alias("n"))
+    v = items.where("text is not null").select("item_id", text.normalized(F.col("text")).alias("v")).where("v <> ''")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = 1 + size // ITEM_BYTES
+    part = lambda k: F.broadcast(v.where(F.pmod(F.xxhash64("v"), F.lit(passes)) == k))
+    out = n.join(part(0), F.contains("n", "v"))
+    for k in range(1, passes):
+        out = out.unionByName(n.join(part(k), F.contains("n", "v")))
+    return out.select("doc_id", "item_id")
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, {NORMAL} AS v FROM benchmark WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, text, {NORMAL} AS n FROM (SELECT doc_id, {MARKED} AS text FROM documents WHERE text IS NOT NULL)),
+    x AS (SELECT doc_id, n, list_transform(list_filter(regexp_extract_all(text, '{sql_re(candidates.TAX_ID)}', 0), lambda m: {_TEN}), lambda m: regexp_replace(m, '\D', '', 'g')) AS ids,
+      unnest(['526000' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '46', 'PL 526 000 ' || lpad(CAST((doc_id + 1) % 100 AS VARCHAR), 2, '0') || ' 46']) AS v FROM t)
+    SELECT doc_id, 'benchmark' AS kind, CAST(item_id AS VARCHAR) AS value FROM d JOIN b ON v <> '' AND contains(n, v)
+    UNION ALL SELECT doc_id, 'tax_id' AS kind, v AS value FROM x WHERE contains(n, lower(v)) OR list_contains(ids, regexp_replace(v, '\D', '', 'g'))"""
+)
+def values_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that occurs in a document, of all pairs; and of two tax ids a document, its own and its neighbour's, those found in it."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    items = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.lit("benchmark").alias("kind"), F.col("item_id").cast("string").alias("value"))
+    two = lambda d: F.lpad((d % 100).cast("string"), 2, "0")
+    values = F.array(F.concat(F.lit("526000"), two(F.col("doc_id")), F.lit("46")), F.concat(F.lit("PL 526 000 "), two(F.col("doc_id") + 1), F.lit(" 46")))
+    ids = docs.select("doc_id", marked().alias("t")).select("doc_id", "t", text.normalized(F.col("t")).alias("n"))
+    ids = ids.withColumn("value", F.explode(values)).where(candidates.occurs_in(F.col("value"), F.col("t"), F.lower("value"), F.col("n")))
+    return items.unionByName(ids.select("doc_id", F.lit("tax_id").alias("kind"), "value"))
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that a fake backend might give: every kind of right and wrong field occurs."""
     d = F.col("doc_id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import candidates, fixed, text
 from parchment.operators import evaluation, inference, ledger, runs, validation, windowing
+from parchment.plans import documents
 from parchment.sources import archive, extract, formats
 from parchment.sources.config import Config, golden, load
 from parchment.streaming import arrivals
@@ -42,6 +43,21 @@ def test_scalar_functions(spark):
     assert text.decoded(b"\xef\xbb\xbfa") == "a" and text.decoded("ł".encode("cp1250"), "cp1250") == "ł"
 
 
+@pytest.mark.parametrize("most", [documents.ITEM_BYTES, 300])  # the second takes the benchmark in several passes
+def test_every_item_is_looked_for_in_every_text(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(documents, "ITEM_BYTES", most)
+    rng = random.Random(7)
+    items = {i: f"Item {i} asks Straße\n{rng.randrange(10**6)}?" for i in range(60)} | {60: "", 61: None}
+    docs = {d: " ".join(f"filler {items[i].upper()}" for i in rng.sample(range(60), d % 3)) + " NIP 526-000-77-46" * (d == 5) for d in range(90)} | {90: None, 91: ""}
+    spark.createDataFrame([(d, x, len(x or "")) for d, x in docs.items()], "doc_id long, text string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, documents.values_in_source(spark, f"file://{tmp_path}").collect()))
+    forms = {i: text.normal_form(x) for i, x in items.items() if x}
+    want = [(d, "benchmark", str(i)) for d, x in docs.items() if x is not None for i, f in forms.items() if f in text.normal_form(x)]
+    assert any(int(i) != d % 40 for d, _, i in want) and any(int(i) >= 40 for _, _, i in want)
+    assert got == sorted(want + [(d, "tax_id", f"526000{d:02}46") for d, x in docs.items() if x is not None])
+
+
 CASES = [
     "NIP: 526-000-12-46", "VAT PL 5260001246", "tel 12 34", "12 września 2024", "12 WRZEŚNIA 2024", "3/12/2024", "12 III 2024",
     "March 5, 2025 and 5 March 2025", "1 234,56 zł", "$1,234.50", "-450.00 PLN", "2024-1-5 2024-01-05x", "a 1.5 b 2,55", "",
