@@ -7,6 +7,8 @@ tokens of the sample proportional to the fitted weights, up to the limit that no
 
 from __future__ import annotations
 
+import logging
+import os
 from collections.abc import Mapping
 
 import numpy as np
@@ -14,11 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.rules import NOT_SPACE
-from parchment.llm.store import written
+from parchment.llm.store import removed, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells up to which raking runs on the driver; beyond, it runs as Spark jobs.
 DRIVER_CELLS = 50_000
+#: Most rounds of raking, and the gap to a group's share below which it ends, on either path.
+ROUNDS, CLOSE = 200, 1e-9
+
+log = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -49,7 +55,7 @@ def smoothed(shares: np.ndarray, power: float) -> np.ndarray:
     return x / x.sum() if x.sum() else x
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int | None = None, close: float = CLOSE) -> np.ndarray:
     """Fitted token weights of the cells. Targets of groups without tokens are dealt over the others."""
     fit = tokens.astype(np.float64).copy()
     if not fit.sum():
@@ -60,7 +66,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
         reached = np.bincount(code, fit, minlength=len(target)) > 0
         goal = np.where(reached, target, 0.0)
         goals.append(goal / goal.sum() if goal.sum() else np.bincount(code, fit, minlength=len(target)))
-    for _ in range(rounds):
+    for _ in range(rounds or ROUNDS):
         off = 0.0
         for code, goal in zip(codes, goals, strict=True):
             now = np.bincount(code, fit, minlength=len(goal))
@@ -69,6 +75,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
             fit *= factor[code]
         if off < close:
             break
+    else:
+        log.warning("raking stopped short: a group was %g from its share in the last round", off)
     return fit
 
 
@@ -104,7 +112,9 @@ def probabilities(
     tokens = rows["_tokens"].to_numpy(np.float64)
     codes, goals = [], []
     for name, dim in zip(names, DIMENSIONS, strict=True):
-        values, code = np.unique(rows[name].to_numpy(object).astype(str), return_inverse=True)
+        # by a dict: numpy's and pandas' strings end at NUL, which would join null's group with the empty string's
+        place = {v: k for k, v in enumerate(dict.fromkeys(rows[name]))}
+        values, code = list(place), np.array([place[v] for v in rows[name]], np.int64)
         own = np.bincount(code, tokens, minlength=len(values))
         given = (targets or {}).get(dim)
         goal = np.array([given.get(v, 0.0) for v in values]) if given else smoothed(own / max(own.sum(), 1), power)
@@ -117,7 +127,7 @@ def probabilities(
     return spark.createDataFrame(rows[[*names, "weight", "probability"]], schema) if len(rows) else spark.createDataFrame([], schema)
 
 
-def _distributed(cells: DataFrame, share: float, power: float, targets: Mapping[str, Mapping[str, float]] | None, rounds: int = 30) -> DataFrame:
+def _distributed(cells: DataFrame, share: float, power: float, targets: Mapping[str, Mapping[str, float]] | None, rounds: int | None = None) -> DataFrame:
     """Raking by joins of cells with their groups' factors; each round is written to the shared folder."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("_tokens")).first()[0] or 0)
@@ -133,16 +143,22 @@ def _distributed(cells: DataFrame, share: float, power: float, targets: Mapping[
             raw = own.select(f"_{dim}", F.pow(F.col("n") / F.lit(max(total, 1.0)), F.lit(power)).alias("g"))
         whole = float(raw.agg(F.sum("g")).first()[0] or 1)
         goals[dim] = written(raw.select(f"_{dim}", (F.col("g") / F.lit(whole)).alias("g")), "goals")
-    for _ in range(rounds):
+    path = None
+    for _ in range(rounds or ROUNDS):
         off = 0.0
         for dim, goal in goals.items():
             sums = now.groupBy(f"_{dim}").agg(F.sum("weight").alias("w"))
             factor = written(sums.join(goal, f"_{dim}", "left").select(f"_{dim}", F.when(F.col("w") > 0, F.coalesce("g", F.lit(0.0)) / F.col("w")).otherwise(0.0).alias("f"), F.abs(F.col("w") - F.coalesce("g", F.lit(0.0))).alias("off")), "factors")
             off = max(off, float(factor.agg(F.max("off")).first()[0] or 0))
             now = now.join(factor.drop("off"), f"_{dim}").withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        now = written(now, "raked")
-        if off < 1e-9:
+        now, old = written(now, "raked"), path
+        path = os.path.dirname(now.inputFiles()[0])
+        if old:
+            removed(spark, old)
+        if off < CLOSE:
             break
+    else:
+        log.warning("raking stopped short: a group was %g from its share in the last round", off)
     rate = F.when(F.col("_tokens") > 0, F.col("weight") / F.col("_tokens")).otherwise(0.0)
     goal = share * float(now.where("weight > 0").agg(F.sum("_tokens")).first()[0] or 0)
     low, high = 0.0, 1.0

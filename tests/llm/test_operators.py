@@ -404,6 +404,19 @@ def test_mixing(docs, empty, spark):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_both_ways_of_raking_agree(spark, monkeypatch, caplog):
+    monkeypatch.setattr(mixing, "ROUNDS", 3)  # stops short, on both
+    rng = random.Random(4)
+    rows = [(d, sentences(rng, rng.randrange(5, 60)), rng.choice(["en", "de"]), rng.choice([None, "", "", "", "web"])) for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.written(mixing.cells_of(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")), "cells")
+    given = {"lang": {"en": 0.9, "de": 0.1}}
+    for targets in (None, given):
+        a, b = (mixing.probabilities(cells, 0.5, 0.3, targets, most=m).toPandas().set_index(["_source", "_lang", "_topic"]).sort_index() for m in (10**6, 0))
+        assert len(a) >= 6 and np.allclose(a["weight"], b["weight"], atol=1e-12)
+    assert sum("stopped short" in r.message for r in caplog.records) >= 2
+
+
 # ---- 1 and 6
 
 
