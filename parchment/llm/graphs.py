@@ -1,15 +1,22 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are collapsed first. Each label's vectors are dealt into shards by hash; a shard's graph is built once and
-written. Then every vector of the label is looked up in every shard of it, block by block. A block audits its own recall:
-some of its queries are also answered by a full scan of the shard, and as long as too few of their links were
-found the beam is doubled and the block searched again, in the end by a scan. Found pairs are verified by cosine in double
-precision. A block returns counts and a spanning forest of its links, never the pairs themselves.
+Equal vectors are collapsed first. Each label's vectors are dealt into shards by hash. A shard's graph is grown by
+insertion: nodes come in batches, each finds its neighbours by a search of the graph so far, keeps those the diversity
+rule allows, and is linked back. The graph is written to a file of the shared folder; only paths travel after that. Every
+pair of shards of a label is then looked at once: the vectors of one are queries to the graph of the other.
+
+Recall is audited where it can be measured, in every graph: probes are made at just the least cosine from known nodes, and the
+beam is doubled until all but a few thousandths of them find their node. Each pair of shards is audited again with some of
+its real queries against a scan. Where beams grow so wide that a scan is cheaper, the shard is scanned. Found pairs are verified by
+cosine in double precision. A task returns counts and a spanning forest of its links, never the pairs themselves.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
+import logging
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,14 +25,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.components import components
-from parchment.llm.store import written
+from parchment.llm.store import new_path, open_fs, written
 from parchment.llm.text import mix
 
-SHARD, BLOCK = 8192, 4096
-#: Neighbours kept by the diversity rule, with reverse links, and random long links, of a node; share of nodes a level up.
-KEEP, REVERSE, RANDOM, STEP_UP = 12, 10, 2, 8
-CANDIDATES = 40
-BEAM, AUDITED, RECALL = 24, 48, 0.995
+#: Bytes of a shard's vectors in memory (12 a component), so that shards of wide vectors hold fewer.
+SHARD_BYTES = 48 << 20
+#: Links of a node, those among them that are drawn at random (in the lowest level), and the share of nodes a level up.
+LINKS, RANDOM, STEP_UP = 24, 2, 8
+#: Beam of insertion, nodes inserted at once at most, and queries searched at once.
+BUILD_BEAM, INSERTED, CHUNK = 40, 512, 256
+#: First beam; probes of a graph, real queries audited a pair of shards, and the recall that both must reach.
+BEAM, PROBES, AUDITED, RECALL = 24, 512, 48, 0.997
+#: Shards whose vectors a task takes to one graph.
+GROUP = 8
+
+log = logging.getLogger(__name__)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, scaled to length one; the greatest component is divided out first."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 @dataclass
@@ -33,86 +53,121 @@ class Graph:
     """A shard's vectors, scaled to length one, and the links of each level, lowest first (-1: none)."""
 
     ids: np.ndarray
+    reps: np.ndarray
     weight: np.ndarray
     exact: np.ndarray  # float64
-    unit: np.ndarray  # float32
     levels: list[tuple[np.ndarray, np.ndarray]]  # members, links as positions among all vectors
-    first: np.ndarray  # all links of the lowest level in both directions: where a node's begin, and their ends
-    ends: np.ndarray
-
-
-def unit_rows(x: np.ndarray) -> np.ndarray:
-    """Rows in double precision, scaled to length one; the greatest component is divided out first."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def linked_level(unit: np.ndarray, members: np.ndarray, seed: int) -> np.ndarray:
-    """Links of one level: of each member's nearest, those nearer to it than to any kept before; then links back and
-    a few at random, which keep tight groups in touch with the rest."""
-    n = len(members)
-    k = min(CANDIDATES, n - 1)
-    out = np.full((n, KEEP + REVERSE + RANDOM), -1, np.int32)
-    if k < 1:
-        return out
-    x = unit[members]
-    kept = np.full((n, KEEP), -1, np.int64)
-    for a in range(0, n, 512):
-        rows = np.arange(a, min(a + 512, n))
-        sims = x[rows] @ x.T
-        sims[np.arange(len(rows)), rows] = -np.inf
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        own = np.take_along_axis(sims, near, 1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
-        among = np.einsum("acd,aed->ace", x[near], x[near])
-        taken = np.zeros((len(rows), k), bool)
-        count = np.zeros(len(rows), np.int64)
-        for c in range(k):
-            blocked = (taken & (among[:, c, :] > own[:, c : c + 1])).any(1)
-            use = np.flatnonzero(~blocked & (count < KEEP))
-            kept[rows[use], count[use]] = near[use, c]
-            taken[use, c] = True
+    beam: int = 0  # 0: to be scanned
+    probes: int = 0
+    found: int = 0
+
+    def __post_init__(self) -> None:
+        self.unit = self.exact.astype(np.float32)
+        n, (members, links) = len(self.ids), self.levels[0]
+        row, slot = np.nonzero(links >= 0)
+        node, other = members[row], links[row, slot].astype(np.int64)
+        pair = np.unique(np.concatenate([node * n + other, other * n + node]))
+        #: all links of the lowest level in both directions: where a node's begin, and their ends
+        self.first = np.searchsorted(pair // max(n, 1), np.arange(n + 1))
+        self.ends = (pair % max(n, 1)).astype(np.int32)
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        levels = {f"{k}{i}": x for i, pair in enumerate(self.levels) for k, x in zip("ml", pair, strict=True)}
+        np.savez(out, ids=self.ids, reps=self.reps, weight=self.weight, exact=self.exact, state=np.array([len(self.levels), self.beam, self.probes, self.found]), **levels)
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> Graph:
+        x = np.load(io.BytesIO(data), allow_pickle=False)
+        n, beam, probes, found = x["state"].tolist()
+        return Graph(x["ids"], x["reps"], x["weight"], x["exact"], [(x[f"m{i}"], x[f"l{i}"]) for i in range(n)], beam, probes, found)
+
+
+def diverse(unit: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
+    """Of each row's candidates (-1: none), nearest first: those nearer to the row than to any kept before, then,
+    for the places left, the nearest that this rule passed over."""
+    order = np.argsort(-sims, axis=1, kind="stable")
+    cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+    n, k = cand.shape
+    out = np.full((n, keep), -1, np.int32)
+    step = max(8, (1 << 21) // max(1, k * unit.shape[1]))
+    for a in range(0, n, step):
+        c, own = cand[a : a + step], sims[a : a + step]
+        x = unit[c]
+        among = x @ x.transpose(0, 2, 1)
+        rows = np.arange(len(c))
+        taken, count = np.zeros(c.shape, bool), np.zeros(len(c), np.int64)
+        for j in range(k):
+            blocked = (taken & (among[:, j, :] > own[:, j : j + 1])).any(1)
+            use = rows[~blocked & (count < keep) & (c[:, j] >= 0)]
+            out[a + use, count[use]] = c[use, j]
+            taken[use, j] = True
             count[use] += 1
-        for c in range(k):  # places left go to the nearest that the rule passed over
-            use = np.flatnonzero(~taken[:, c] & (count < KEEP))
-            kept[rows[use], count[use]] = near[use, c]
+        for j in range(k):
+            use = rows[~taken[:, j] & (count < keep) & (c[:, j] >= 0)]
+            out[a + use, count[use]] = c[use, j]
             count[use] += 1
-    out[:, :KEEP] = kept
-    source, slot = np.nonzero(kept >= 0)
-    target = kept[source, slot]
-    order = np.argsort(target * KEEP + slot, kind="stable")
-    target, source = target[order], source[order]
-    place = np.arange(len(target)) - np.searchsorted(target, target)
-    use = place < REVERSE
-    out[target[use], KEEP + place[use]] = source[use]
+    return out
+
+
+def link_back(unit: np.ndarray, links: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
+    """Link the new nodes' neighbours to them; a node with too many links keeps those the diversity rule allows."""
+    source, slot = np.nonzero(links[place[new]] >= 0)
+    target = links[place[new]][source, slot].astype(np.int64)
+    source = new[source]
+    sims = np.einsum("pd,pd->p", unit[source], unit[target])
+    order = np.lexsort((-sims, target))
+    source, target = source[order], target[order]
+    nodes, begin, count = np.unique(target, return_index=True, return_counts=True)
+    nth = np.arange(len(target)) - np.repeat(begin, count)
+    near = nth < LINKS  # of one batch's the nearest
+    more = np.full((len(nodes), LINKS), -1, np.int64)
+    more[np.repeat(np.arange(len(nodes)), count)[near], nth[near]] = source[near]
+    old = links[place[nodes]].astype(np.int64)
+    more[(more[:, :, None] == old[:, None, :]).any(2)] = -1  # linked already
+    cand = np.concatenate([old, more], 1)
+    full = (cand >= 0).sum(1) > links.shape[1]
+    rest = np.flatnonzero(~full)
+    packed = np.take_along_axis(cand[rest], np.argsort(cand[rest] < 0, axis=1, kind="stable"), 1)
+    links[place[nodes[rest]]] = packed[:, : links.shape[1]]
+    for a in range(0, full.sum(), 2048):
+        at = np.flatnonzero(full)[a : a + 2048]
+        s = np.einsum("ncd,nd->nc", unit[cand[at]], unit[nodes[at]])
+        links[place[nodes[at]]] = diverse(unit, cand[at], np.where(cand[at] >= 0, s, -np.inf), links.shape[1])
+
+
+def grown(unit: np.ndarray, members: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
+    """Links of one level, whose ``members`` are ordered so that those of the levels above come first."""
+    n, total = len(members), len(unit)
+    links = np.full((n, LINKS), -1, np.int32)
+    place = np.full(total, -1, np.int64)
+    place[members] = np.arange(n)
+    top = above[0][0] if above else members[:64]
+    done = 0
+    while done < n:
+        batch = members[done : done + min(INSERTED, max(64, done))]
+        x = unit[batch]
+        own = x @ x.T
+        np.fill_diagonal(own, -np.inf)
+        k = min(16, len(batch) - 1)
+        near = np.argpartition(-own, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(batch), 0), np.int64)
+        cand, sims = batch[near], np.take_along_axis(own, near, 1)
+        if done:
+            start = descended(unit, x, above) if above else top[None, :].repeat(len(batch), 0)
+            start = np.where((start >= 0) & (place[start] < done), start, top[0])
+            found, s = beam_search(unit, x, links, place, start, BUILD_BEAM, np.zeros((len(batch), total), bool))
+            cand, sims = np.concatenate([cand, found], 1), np.concatenate([sims, np.where(found >= 0, s, -np.inf)], 1)
+        picked = diverse(unit, cand.astype(np.int64), sims, LINKS // 2)
+        links[place[batch], : LINKS // 2] = picked
+        done += len(batch)
+        link_back(unit, links, place, batch)
     rng = np.random.default_rng(seed)
-    out[:, KEEP + REVERSE :] = rng.integers(0, n, (n, RANDOM))
-    return np.where(out >= 0, members[out], -1).astype(np.int32)
-
-
-def build(ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> Graph:
-    """Levels are drawn from the ids' hashes, so a shard's graph is the same on every run."""
-    order = np.argsort(ids, kind="stable")
-    ids, weight, exact = ids[order], weight[order], unit_rows(vectors[order])
-    unit = exact.astype(np.float32)
-    members, levels, draw = np.arange(len(ids)), [], mix(ids.view(np.uint64))
-    while True:
-        levels.append((members, linked_level(unit, members, len(levels))))
-        if len(members) <= 64:
-            break
-        draw = mix(draw)
-        up = members[draw[members] % np.uint64(STEP_UP) == 0]
-        members = up if len(up) else members[:1]
-    node, slot = np.nonzero(levels[0][1] >= 0)
-    other = levels[0][1][node, slot].astype(np.int64)
-    pair = np.unique(np.concatenate([node * len(ids) + other, other * len(ids) + node]))
-    first = np.searchsorted(pair // len(ids), np.arange(len(ids) + 1))
-    return Graph(ids, weight, exact, unit, levels, first, (pair % len(ids)).astype(np.int32))
+    return np.concatenate([links, rng.choice(members, (n, RANDOM)).astype(np.int32)], 1)
 
 
 def beam_search(
-    g: Graph, q: np.ndarray, links: np.ndarray, of: np.ndarray, start: np.ndarray, beam: int, seen: np.ndarray
+    unit: np.ndarray, q: np.ndarray, links: np.ndarray, of: np.ndarray, start: np.ndarray, beam: int, seen: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Best ``beam`` nodes of one level for each query, from the nodes in ``start``; all visited are set in ``seen``.
 
@@ -124,9 +179,11 @@ def beam_search(
     sims = np.full((n, beam), -np.inf, np.float32)
     width = min(start.shape[1], beam)
     found[:, :width] = start[:, :width]
+    again = (found[:, :width, None] == found[:, None, :width]) & np.tri(width, k=-1, dtype=bool)
+    found[:, :width][again.any(2)] = -1
     rows = np.arange(n)
     valid = found >= 0
-    sims[valid] = np.einsum("pd,pd->p", g.unit[found[valid]], q[np.nonzero(valid)[0]])
+    sims[valid] = np.einsum("pd,pd->p", unit[found[valid]], q[np.nonzero(valid)[0]])
     seen[np.nonzero(valid)[0], found[valid]] = True
     done = ~valid
     live = rows
@@ -141,13 +198,13 @@ def beam_search(
         near = links[of[found[live, best]]].astype(np.int64)
         fresh = (near >= 0) & ~seen[live[:, None], near]
         r, c = np.nonzero(fresh)
-        _, one = np.unique(live[r] * len(g.ids) + near[r, c], return_index=True)  # a node may be linked twice
+        _, one = np.unique(live[r] * len(unit) + near[r, c], return_index=True)  # a node may be linked twice
         fresh[:] = False
         fresh[r[one], c[one]] = True
         r, c = np.nonzero(fresh)
         seen[live[r], near[r, c]] = True
         s = np.full(near.shape, -np.inf, np.float32)
-        s[r, c] = np.einsum("pd,pd->p", g.unit[near[r, c]], q[live[r]])
+        s[r, c] = np.einsum("pd,pd->p", unit[near[r, c]], q[live[r]])
         all_sims = np.concatenate([sims[live], s], 1)
         all_found = np.concatenate([found[live], near], 1)
         all_done = np.concatenate([done[live], ~fresh], 1)
@@ -158,19 +215,76 @@ def beam_search(
     return np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
 
 
+def descended(unit: np.ndarray, q: np.ndarray, above: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Where to begin in the level under ``above``: the nodes found nearest on the way down."""
+    top = above[-1][0]
+    start = top[np.argsort(-(q @ unit[top].T), axis=1, kind="stable")[:, :8]]
+    place = np.full(len(unit), -1, np.int64)
+    for members, links in reversed(above):
+        place[members] = np.arange(len(members))
+        start, _ = beam_search(unit, q, links, place, start, 8, np.zeros((len(q), len(unit)), bool))
+    return start
+
+
+def build(ids: np.ndarray, reps: np.ndarray, weight: np.ndarray, vectors: np.ndarray, least: float) -> Graph:
+    """Levels are drawn from the ids' hashes, so a shard's graph is the same on every run."""
+    order = np.argsort(ids, kind="stable")
+    exact = unit_rows(vectors[order])
+    unit, draw = exact.astype(np.float32), mix(ids[order].view(np.uint64))
+    height, level = np.zeros(len(ids), np.int64), draw
+    while True:
+        level = mix(level)
+        up = (height == height.max()) & (level % np.uint64(STEP_UP) == 0)
+        if (height == height.max()).sum() <= 64 or not up.any():
+            break
+        height[up] += 1
+    members = np.lexsort((draw, -height))
+    above: list[tuple[np.ndarray, np.ndarray]] = []
+    for h in range(height.max(), -1, -1):
+        own = members[height[members] >= h]
+        above.insert(0, (own, grown(unit, own, above, h)))
+    g = Graph(ids[order], reps[order], weight[order], exact, above)
+    probed(g, least)
+    return g
+
+
+def probed(g: Graph, least: float) -> None:
+    """Set the beam by probes: vectors at just the least cosine from nodes spread over the shard, half of them off in any
+    direction and half towards another node. A probe is found if the search gives back its node."""
+    n, d = g.exact.shape
+    if d < 4 or not 0 < least < 1:
+        return
+    rng = np.random.default_rng(n)
+    node = rng.choice(n, PROBES, replace=n < PROBES)
+    x = g.exact[node]
+    aside = rng.normal(size=(PROBES, d))
+    aside[PROBES // 2 :] = g.exact[rng.integers(0, n, PROBES - PROBES // 2)]
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    size = np.sqrt((aside * aside).sum(1, keepdims=True))
+    sound = size[:, 0] > 1e-6
+    node, x, aside = node[sound], x[sound], aside[sound] / size[sound]
+    cosine = least + (1 - least) * 1e-6
+    q = unit_rows(cosine * x + np.sqrt(1 - cosine * cosine) * aside)
+    g.probes, beam = len(q), BEAM
+    while beam < n // 8:
+        g.found = 0
+        for a in range(0, len(q), CHUNK):
+            r, c = search(g, q[a : a + CHUNK].astype(np.float32), q[a : a + CHUNK], least, beam)
+            g.found += len(np.unique(r[c == node[a + r]]))
+        if len(q) and g.found >= RECALL * len(q):
+            g.beam = beam
+            return
+        beam *= 2
+    g.found = len(q)  # a scan finds them all
+
+
 def search(g: Graph, q: np.ndarray, exact_q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with cosine of at least ``least``: descend, then spread from every node found close."""
     n = len(g.ids)
-    place = np.full(n, -1, np.int64)
-    start = np.tile(g.levels[-1][0], (len(q), 1))
-    sims = q @ g.unit[g.levels[-1][0]].T
-    start = np.take_along_axis(start, np.argsort(-sims, axis=1, kind="stable")[:, :8], 1)
-    for members, links in g.levels[:0:-1]:
-        place[members] = np.arange(len(members))
-        start, _ = beam_search(g, q, links, place, start, 8, np.zeros((len(q), n), bool))
-    links = g.levels[0][1]
+    above = g.levels[1:]
+    start = descended(g.unit, q, above) if above else np.tile(g.levels[0][0][:64], (len(q), 1))
     seen = np.zeros((len(q), n), bool)
-    found, sims = beam_search(g, q, links, np.arange(n), start, beam, seen)
+    found, sims = beam_search(g.unit, q, g.levels[0][1], np.argsort(g.levels[0][0]), start, beam, seen)
     near = 1 - (1 - least) * 1.8  # spread a little beyond the threshold, to cross gaps in a group
     spread = np.zeros((len(q), n), bool)
     r, c = np.nonzero((sims >= near) & (found >= 0))
@@ -195,10 +309,7 @@ def search(g: Graph, q: np.ndarray, exact_q: np.ndarray, least: float, beam: int
         r, c = np.concatenate(more_r), np.concatenate(more_c)
         hits_r.append(r)
         hits_c.append(c)
-    return verified(g, exact_q, np.concatenate(hits_r), np.concatenate(hits_c), least)
-
-
-def verified(g: Graph, exact_q: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    r, c = np.concatenate(hits_r), np.concatenate(hits_c)
     keep = np.zeros(len(r), bool)
     for a in range(0, len(r), 50_000):
         s = slice(a, a + 50_000)
@@ -207,26 +318,33 @@ def verified(g: Graph, exact_q: np.ndarray, r: np.ndarray, c: np.ndarray, least:
 
 
 def scanned(g: Graph, exact_q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    r, c = np.nonzero(exact_q @ g.exact.T >= least)
-    return r, c
+    return np.nonzero(exact_q @ g.exact.T >= least)
+
 
+def looked_up(g: Graph, exact_q: np.ndarray, keys: np.ndarray, least: float, audit: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (query, node) of a block, chunk by chunk, a vector with itself apart.
 
-def audited(g: Graph, exact_q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Search a block until its audit passes: AUDITED queries, spread over the block, against a full scan."""
-    q = exact_q.astype(np.float32)
+    AUDITED queries, spread over the block, are also scanned: while too few of their links are found the beam is doubled,
+    in the end to a scan. ``audit`` takes the links that were looked for and found.
+    """
+    q, beam = exact_q.astype(np.float32), g.beam
     picks = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-    r, c = scanned(g, exact_q[picks], least)
-    truth = set(zip(picks[r].tolist(), c.tolist(), strict=True))
-    while beam < len(g.ids):
-        parts = [search(g, q[a : a + 256], exact_q[a : a + 256], least, beam) for a in range(0, len(q), 256)]
-        r = np.concatenate([p[0] + 256 * k for k, p in enumerate(parts)])
-        c = np.concatenate([p[1] for p in parts])
-        own = np.isin(r, picks)
-        if len(truth & set(zip(r[own].tolist(), c[own].tolist(), strict=True))) >= RECALL * len(truth):
-            return r, c
-        beam *= 2
-    parts = [scanned(g, exact_q[a : a + 256], least) for a in range(0, len(q), 256)]
-    return np.concatenate([p[0] + 256 * k for k, p in enumerate(parts)]), np.concatenate([p[1] for p in parts])
+    others = lambda rows, r, c: {(a, b) for a, b in zip(rows[r].tolist(), c.tolist(), strict=True) if keys[a] != g.ids[b]}
+    truth = others(picks, *scanned(g, exact_q[picks], least))
+    got = truth
+    while beam and truth:
+        got = truth & others(picks, *search(g, q[picks], exact_q[picks], least, beam))
+        if len(got) >= RECALL * len(truth):
+            break
+        beam = beam * 2 if beam * 2 < len(g.ids) // 8 else 0
+        got = truth
+    if audit is not None:
+        audit |= {"beam": beam, "links": len(truth), "found": len(got)}
+    for a in range(0, len(q), CHUNK):
+        s = slice(a, a + CHUNK)
+        r, c = search(g, q[s], exact_q[s], least, beam) if beam else scanned(g, exact_q[s], least)
+        other = keys[a + r] != g.ids[c]
+        yield a + r[other], c[other]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,14 +371,37 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def put(path: str, data: bytes) -> None:
+    """A whole file at once; a task that runs again writes another."""
+    fs, at = open_fs(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+
+
+def read(path: str) -> bytes:
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
+
+
+FOUND = ["key", "n", "a", "b", "audited", "audited_found"]
+
+
+def said(built: DataFrame, found: DataFrame) -> None:
+    """Log what the audits of graphs and of pairs of shards found."""
+    g = built.agg(F.count("*"), F.count_if(F.col("beam") == 0), F.max("beam"), F.min(F.try_divide("found", "probes"))).first()
+    p = found.agg(F.sum("audited"), F.sum("audited_found")).first()
+    log.info("%s graphs, %s to be scanned, widest beam %s, least recall of probes %s; real links audited %s, found %s", *g, *p)
+
+
 def near_duplicates(
     vectors: DataFrame,
     least: float = 0.93,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
-    shard: int = SHARD,
-    block: int = BLOCK,
+    shard: int | None = None,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row.
 
@@ -269,6 +410,9 @@ def near_duplicates(
     the row's own. Vectors that are null, all zeros, or hold null or non-finite components, and rows with a null label or
     id, link with nothing; a null id's component is null and it is kept. Rows that repeat an id, label and vector are one
     vector and each get its result. Other columns are not read; an empty table gives an empty result.
+
+    Shards hold about ``shard`` vectors, or else SHARD_BYTES; every vector meets every shard of its label, as a query or as a node. What the
+    audits found is logged.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
@@ -286,55 +430,61 @@ def near_duplicates(
         .withColumn("dims", F.size("vector"))
     )
     groups = written(groups, "vector-groups")
-    sizes = groups.groupBy("label", "dims").agg(F.count("*").alias("n"))
-    sizes = sizes.select("label", "dims", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, ["label", "dims"]).select(
-        "label", "dims", "shards", "blocks", "key", "rep", "copies", "vector",
-        F.pmod(F.xxhash64("key"), "shards").cast("int").alias("shard"),
-        F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int").alias("block"),
-    )
-    label = vectors.schema[label_col].dataType.simpleString()
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        return np.asarray(t["vector"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    room = F.lit(shard) if shard else F.greatest(F.lit(SHARD_BYTES) / (12 * F.col("dims")), F.lit(1.0))
+    sizes = groups.groupBy("label", "dims").agg(F.ceil(F.count("*") / room).cast("int").alias("shards"))
+    sizes = written(sizes, "vector-sizes")
+    dealt = groups.join(sizes, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("key"), "shards").cast("int"))
+    kind = vectors.schema[label_col].dataType.simpleString()
+    folder = new_path(vectors.sparkSession, "graphs")
 
     def make(t: pa.Table) -> pa.Table:
-        g = build(t["key"].to_numpy(), t["copies"].to_numpy(), matrix(t))
-        reps = dict(zip(t["key"].to_pylist(), t["rep"].to_pylist(), strict=True))
-        blob = pickle.dumps((g, np.array([reps[k] for k in g.ids.tolist()], np.int64)), protocol=5)
-        return pa.table({"label": t["label"][:1], "dims": t["dims"][:1], "shard": t["shard"][:1], "blocks": t["blocks"][:1], "graph": pa.array([blob], pa.binary())})
-
-    built = dealt.groupBy("label", "dims", "shard").applyInArrow(make, f"label {label}, dims int, shard int, blocks int, graph binary")
-    built = written(built, "graphs")
-    shards = built.select("label", "dims", "shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = dealt.select("label", "dims", "block", "key", "rep", "copies", "vector", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-
-    def look(t: pa.Table, s: pa.Table) -> pa.Table:
-        keys, reps = t["key"].to_numpy(), t["rep"].to_numpy()
-        if not t.num_rows or not s.num_rows:
-            none = pa.array([], pa.int64())
-            return pa.table({"key": none, "n": none, "a": none, "b": none})
-        g, node_reps = pickle.loads(s["graph"][0].as_py())
-        r, c = audited(g, unit_rows(matrix(t)), least)
-        other = keys[r] != g.ids[c]
-        r, c = r[other], c[other]
-        n = np.bincount(r, weights=g.weight[c], minlength=len(keys)).astype(np.int64)
-        a, b = forest(reps[r], node_reps[c])
-        some = np.flatnonzero(n)
-        blank = lambda k: pa.nulls(k, pa.int64())
-        return pa.concat_tables([
-            pa.table({"key": keys[some], "n": n[some], "a": blank(len(some)), "b": blank(len(some))}),
-            pa.table({"key": blank(len(a)), "n": blank(len(a)), "a": a, "b": b}),
-        ])
-
-    by = ["label", "dims", "shard", "block"]
-    found = queries.groupBy(*by).cogroup(shards.groupBy(*by)).applyInArrow(look, "key long, n long, a long, b long")
-    found = written(found, "vector-links")
+        vector = np.asarray(t["vector"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        g = build(t["key"].to_numpy(), t["rep"].to_numpy(), t["copies"].to_numpy(), vector, least)
+        path = f"{folder}/{uuid.uuid4().hex}"
+        put(path, g.dump())
+        rows = {"path": [path], "nodes": [len(g.ids)], "beam": [g.beam], "probes": [g.probes], "found": [g.found]}
+        return pa.table({c: t[c][:1] for c in ("label", "dims", "shard")} | rows)
+
+    dealt = dealt.select("label", "dims", "shard", "key", "rep", "copies", "vector")
+    built = dealt.groupBy("label", "dims", "shard").applyInArrow(make, f"label {kind}, dims int, shard int, path string, nodes long, beam long, probes long, found long")
+    built = written(built, "graphs-built")
+    one, two = (built.select("label", "dims", F.col("shard").alias(f"{x}_shard"), F.col("path").alias(x)) for x in ("queries", "graph"))
+    turns = built.select("label", "dims", F.col("shard").alias("graph_shard"), F.explode(F.sequence(F.lit(0), "shard")).alias("queries_shard"))
+    turns = turns.join(two, ["label", "dims", "graph_shard"]).join(one, ["label", "dims", "queries_shard"])
+    n_turns = int(sizes.agg(F.sum(F.expr("shards * (shards + 1L) div 2"))).first()[0] or 0)
+    by = ["label", "dims", "graph_shard", (F.col("queries_shard") / GROUP).cast("int")]
+    turns = turns.repartition(max(1, min(n_turns, 100_000)), *by).sortWithinPartitions("graph", "queries_shard").select("graph", "queries")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, g = None, None
+        for batch in batches:
+            for graph_path, queries_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if graph_path != held:
+                    held, g = graph_path, Graph.load(read(graph_path))
+                own = queries_path == graph_path
+                q = g if own else Graph.load(read(queries_path))
+                audit: dict = {}
+                n_q, n_g = np.zeros(len(q.ids), np.int64), np.zeros(len(g.ids), np.int64)
+                a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for r, c in looked_up(g, q.exact, q.ids, least, audit):
+                    np.add.at(n_q, r, g.weight[c])
+                    if not own:
+                        np.add.at(n_g, c, q.weight[r])
+                    a, b = forest(np.concatenate([a, q.reps[r]]), np.concatenate([b, g.reps[c]]))
+                keys, n = np.concatenate([q.ids, g.ids]), np.concatenate([n_q, n_g])
+                some = np.flatnonzero(n)
+                blank = lambda k: pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(n[some]), *[blank(len(some))] * 4], names=FOUND)
+                yield pa.RecordBatch.from_arrays([*[blank(len(a))] * 2, pa.array(a), pa.array(b), *[blank(len(a))] * 2], names=FOUND)
+                yield pa.RecordBatch.from_arrays([*[blank(1)] * 4, pa.array([audit["links"]], pa.int64()), pa.array([audit["found"]], pa.int64())], names=FOUND)
+
+    found = written(turns.mapInArrow(look, ", ".join(f"{x} long" for x in FOUND)), "vector-links")
+    said(built, found)
     counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
     # an id with several vectors joins what each of them is linked to
     several = ids.where("key is not null").join(groups.select("key", "rep"), "key").where("id <> rep")
     several = several.join(ids.where("key is not null").groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("id"), "id")
-    links = found.where("a is not null").select("a", "b").unionByName(several.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    links = found.where("a is not null").select("a", "b").distinct().unionByName(several.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     joined = components(links)
     of_key = (
         groups.select("key", "rep", "copies")

@@ -16,11 +16,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm.store import new_path
+from parchment.llm.store import new_path, open_fs
 
 RECORDS, INDEX = "records.warc.gz", "index.cdx"
 #: Bytes of records between two reads of the archive.
@@ -36,10 +35,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 # ---- records
 
 

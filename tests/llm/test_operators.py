@@ -252,8 +252,8 @@ def test_embeddings(spark):
     pairs = [(a, b) for a in range(n) for b in range(n) if a != b and lab[a] is not None and lab[a] == lab[b] and near[a, b]]
     links = collections.Counter(a for a, _ in pairs)
     root = joined(pairs, range(n))
-    for shard, block in ((8192, 4096), (40, 30)):
-        got = graphs.near_duplicates(df, shard=shard, block=block).collect()
+    for shard in (None, 40):
+        got = graphs.near_duplicates(df, shard=shard).collect()
         assert len(got) == len(rows)
         for r in got:
             i = r["vec_id"]
@@ -264,17 +264,41 @@ def test_embeddings(spark):
     assert graphs.near_duplicates(df.limit(0)).count() == 0
 
 
+def found_by(g, q, keys, audit=None):
+    return sum(len(r) for r, _ in graphs.looked_up(g, q, keys, 0.93, audit))
+
+
 def test_graph_recall_and_fallback():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 32))
     x = np.concatenate([c + 0.06 * rng.normal(size=(25, 32)) for c in centres])
-    g = graphs.build(np.arange(len(x)), np.ones(len(x), int), x)
-    q = graphs.unit_rows(x)
-    want = (q @ q.T >= 0.93).sum()
-    r, _ = graphs.search(g, q[:500].astype(np.float32), q[:500], 0.93, 24)
-    assert len(r) >= 0.9 * (q[:500] @ q.T >= 0.93).sum()
-    assert len(graphs.audited(g, q, 0.93)[0]) >= 0.99 * want
-    assert len(graphs.audited(g, q, 0.93, beam=10**6)[0]) == want
+    ids = np.arange(len(x))
+    g = graphs.build(ids, ids, np.ones(len(x), int), x, 0.93)
+    again = graphs.Graph.load(g.dump())
+    assert again.beam == g.beam > 0 and all(np.array_equal(a, b) for p, q in zip(g.levels, again.levels, strict=True) for a, b in zip(p, q, strict=True))
+    want = (g.exact @ g.exact.T >= 0.93).sum() - len(x)
+    assert found_by(again, g.exact, g.ids) >= 0.99 * want
+    g.beam = 0
+    assert found_by(g, g.exact, g.ids) == want
+    g.beam, g.levels[0][1][:], g.ends[:] = 24, -1, 0  # a graph without links: the audit of real queries sends it to the scan
+    audit = {}
+    assert found_by(g, g.exact, g.ids, audit) == want and audit["beam"] == 0 and audit["links"] > 200
+
+
+@pytest.mark.parametrize("dims", [64, 384, 768])
+def test_sparse_links_between_shards_are_found(dims):
+    """80 links planted between a shard of 8000 and 4096 queries; an audit of the block's own links would see next to none."""
+    rng = np.random.default_rng(dims)
+    x, q, ids = rng.normal(size=(8000, dims)), rng.normal(size=(4096, dims)), np.arange(8000)
+    node, at = rng.choice(8000, 80, replace=False), rng.choice(4096, 80, replace=False)
+    u = graphs.unit_rows(x)[node]
+    aside = rng.normal(size=u.shape)
+    aside = graphs.unit_rows(aside - (aside * u).sum(1, keepdims=True) * u)
+    cosine = rng.uniform(0.931, 0.99, (80, 1))
+    q[at] = cosine * u + np.sqrt(1 - cosine * cosine) * aside
+    g = graphs.build(ids, ids, np.ones(8000, int), x, 0.93)
+    assert g.probes > 400 and g.found >= graphs.RECALL * g.probes
+    assert found_by(g, graphs.unit_rows(q), np.arange(8000, 12096)) >= 79
 
 
 # ---- 3
