@@ -33,13 +33,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sampling.encoded(table(spark, sf_dir, "documents"), k=2, with_ids=False)
 
 
+#: Targets of the mixture: languages and topics by name, the rest of them together; sources by their smoothed shares.
+TARGETS = {"lang": {"en": 0.5, mixing.OTHERS: 0.5}, "topic": {"prose": 0.85, mixing.OTHERS: 0.15}}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    out = mixing.mixed(docs)
-    return out.select(
-        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-        "weight", "probability", "sampled",
-    )
+    out = mixing.mixed(docs, targets=TARGETS)
+    return out.select("doc_id", "source", "lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), "mix.weight", "mix.probability", "mix.sampled")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

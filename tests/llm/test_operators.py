@@ -396,49 +396,104 @@ def test_token_counts(docs, empty):
 # ---- 4
 
 
-def test_raking_meets_marginals():
+def skewed(rng, n=90):
+    """Cells of a hot source, with goals that fit the tokens there are: sums over a part of them."""
+    tokens = rng.integers(1, 1000, n).astype(float)
+    codes = [rng.integers(0, 6, n), rng.integers(0, 4, n), rng.integers(0, 3, n)]
+    tokens[codes[0] == 0] *= 40
+    return tokens, codes
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_raking_meets_marginals_under_the_bound(share):
     rng = np.random.default_rng(7)
-    tokens = rng.integers(1, 1000, 60).astype(float)
-    codes = [rng.integers(0, 3, 60), rng.integers(0, 4, 60), rng.integers(0, 2, 60)]
-    goals = [np.array([0.2, 0.3, 0.5]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]
-    fit = mixing.rake(tokens, codes, goals)
-    for c, g in zip(codes, goals, strict=True):
-        assert np.allclose(np.bincount(c, fit), g, atol=1e-6)
-    p = mixing.scale_for(tokens, fit, 0.4)
-    assert p.max() <= 1 and abs((p * tokens).sum() / tokens.sum() - 0.4) < 1e-9
+    for _ in range(20):
+        tokens, codes = skewed(rng)
+        part = tokens * np.clip(rng.beta(4 * share, 4 * (1 - share), len(tokens)) * 1.3, 0, 1)  # some cells are wanted whole
+        goals = [np.bincount(c, part, minlength=c.max() + 1) for c in codes]
+        fit, gap = mixing.rake(tokens, codes, goals, 3000)
+        assert gap < 1e-6 and fit.min() >= 0 and (fit <= tokens).all()
+        for c, g in zip(codes, goals, strict=True):
+            assert np.abs(np.bincount(c, fit, minlength=len(g)) - g).max() / part.sum() < 1e-6
+    even = [np.bincount(c, tokens) * share for c in codes]
+    assert np.allclose(mixing.rake(tokens, codes, even)[0], tokens * share)  # nothing to change
+
+
+def test_goals():
+    own = {"a": 900.0, "b": 60.0, "c": 40.0, "d": 0.0}
+    t = mixing.shares(own, 0.5, None)
+    assert abs(sum(t.values()) - 1) < 1e-12 and "d" not in t and abs(t["a"] / t["b"] - 15**0.5) < 1e-9
+    t = mixing.shares(own, 1.0, {"a": 0.5, mixing.OTHERS: 0.5})
+    assert t == {"a": 0.5, "b": 0.3, "c": 0.2}
+    assert mixing.goals_of(own, t, 100) == {"a": 50, "b": 30, "c": 20}
+    got = mixing.goals_of(own, t, 400)  # b and c are taken whole, a takes over what they lack
+    assert got == {"b": 60, "c": 40, "a": 300}
+    assert mixing.wanted_tokens([own], [{"a": 0, "b": 1, "c": 0}], 900.0) == 60
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.9])
+def test_mixing_meets_targets(spark, caplog, share):
+    rng = random.Random(11)
+    rows = []
+    for d in range(3000):
+        source = "hot" if d % 3 == 0 else f"s{rng.randrange(6)}"
+        body = sentences(rng, rng.randrange(20, 80))
+        rows.append((d, body + (" | x" if d % 7 == 0 else " 12345" if d % 5 == 0 else ""), rng.choice(["en"] * 6 + ["de", "de", "fr"]), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    own = collections.Counter()
+    for _, t, lang, _s in rows:
+        own[lang] += len(toks(t))
+    total = sum(own.values())
+    targets = {"lang": {"en": own["en"] / total - 0.03, "de": own["de"] / total + 0.03, "fr": own["fr"] / total}}
+    got = mixing.mixed(docs, share=share, power=1.0, targets=targets).select("lang", "mix.*").collect()
+    sums, whole = collections.Counter(), sum(r["tokens"] * r["probability"] for r in got)
+    for r in got:
+        sums[r["lang"]] += r["tokens"] * r["probability"] / whole
+    assert abs(whole / total - share) < 1e-6
+    assert all(abs(sums[k] - v) < 1e-6 for k, v in targets["lang"].items() if share < 0.9)
+    if share == 0.9:  # all of de is taken, which is less than its share, and the log says so
+        assert all(r["probability"] > 1 - 1e-9 for r in got if r["lang"] == "de")
+        assert any("too few tokens" in r.message for r in caplog.records)
+    drawn = sum(r["tokens"] for r in got if r["sampled"])
+    assert abs(drawn / total - share) < 0.05
 
 
 def test_mixing(docs, empty, spark):
-    rows = mixing.mixed(docs, share=0.6).collect()
+    rows = mixing.mixed(docs, share=0.6).select("doc_id", "text", "mix.*").collect()
     assert len(rows) == docs.count()
-    assert {r["_tokens"] == len(toks(r["text"])) for r in rows} == {True}
-    assert all(r["sampled"] for r in rows if r["_tokens"] == 0)
+    assert {r["tokens"] == len(toks(r["text"])) for r in rows} == {True}
+    assert all(r["sampled"] for r in rows if r["tokens"] == 0)
     assert len({r["sampled"] for r in rows if r["doc_id"] == 40}) == 1
-    expected = sum(r["_tokens"] * r["probability"] for r in rows)
-    assert abs(expected / sum(r["_tokens"] for r in rows) - 0.6) < 1e-6
     given = {"lang": {"en": 0.5, "de": 0.5}}
-    got = mixing.mixed(docs, share=0.1, targets=given).select("source", "lang", "_topic", "weight").distinct().collect()
+    got = mixing.mixed(docs, share=0.01, targets=given).select("source", "lang", "mix.topic", "mix.weight").distinct().collect()
     sums = collections.Counter()
     for r in got:
         sums[r["lang"]] += r["weight"]
-    assert abs(sums["en"] - 0.5) < 1e-6 and sums[None] < 1e-9
-    cells = mixing.written(mixing.cells_of(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")), "cells")
-    a, b = (mixing.probabilities(cells, 0.5, 0.7, None, most=m).toPandas().set_index(["_source", "_lang", "_topic"]).sort_index() for m in (10**6, 0))
-    assert np.allclose(a["probability"], b["probability"], atol=1e-6)
-    assert mixing.mixed(empty).count() == 0
+    assert abs(sums["en"] - 0.5) < 1e-6 and sums[None] == 0
+    assert mixing.mixed(empty).count() == 0 and mixing.sampled(empty).columns == empty.columns
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "lang", "source", "mix", "weight", "probability", "sampled", "_tokens", "_topic", "_source", "_lang", "_weight", "tokens", "topic", "_source_", "a.b"]
+    rows = [(k, "some words here", "en", f"s{k % 2}", *[-7.0] * (len(names) - 4)) for k in range(20)]
+    docs = spark.createDataFrame(rows, names)
+    got = corpus_pipeline.mixing_weights(spark, docs, "")
+    assert got.columns == names and 0 < got.count() <= 20 and all(set(r[4:]) == {-7.0} for r in got.collect())
+    assert mixing.mixed(docs).columns == [*names, "_mix"]
 
 
 def test_both_ways_of_raking_agree(spark, monkeypatch, caplog):
-    monkeypatch.setattr(mixing, "ROUNDS", 3)  # stops short, on both
     rng = random.Random(4)
     rows = [(d, sentences(rng, rng.randrange(5, 60)), rng.choice(["en", "de"]), rng.choice([None, "", "", "", "web"])) for d in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    cells = mixing.written(mixing.cells_of(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")), "cells")
-    given = {"lang": {"en": 0.9, "de": 0.1}}
-    for targets in (None, given):
-        a, b = (mixing.probabilities(cells, 0.5, 0.3, targets, most=m).toPandas().set_index(["_source", "_lang", "_topic"]).sort_index() for m in (10**6, 0))
-        assert len(a) >= 6 and np.allclose(a["weight"], b["weight"], atol=1e-12)
-    assert sum("stopped short" in r.message for r in caplog.records) >= 2
+    cells = mixing.written(mixing.cells_of(docs), "cells")
+    assert cells.count() >= 6
+    for share, targets, rounds in ((0.5, {"lang": {"en": 0.9, "de": 0.1}}, 2), (0.8, {"source": {"web": 0.5, mixing.OTHERS: 0.5}}, 2)):
+        monkeypatch.setattr(mixing, "ROUNDS", rounds)  # stops short, on both
+        a, b = (mixing.probabilities(cells, share, 0.3, targets, most=m).orderBy(*mixing.DIMENSIONS).toPandas() for m in (10**6, 0))
+        assert np.allclose(a["weight"], b["weight"], atol=1e-9) and np.allclose(a["probability"], b["probability"], atol=1e-9)
+    none = spark.createDataFrame([], cells.schema)
+    assert mixing.probabilities(none, 0.5, 0.7, None).count() == mixing.probabilities(none, 0.5, 0.7, None, most=-1).count() == 0
 
 
 # ---- 1 and 6
