@@ -20,12 +20,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert every document's count, delete exact copies, and commit the second batch twice."""
-    docs = table(spark, sf_dir, "documents")
+    """Insert every document's count by two tokenizers, delete exact copies, revise and move the counts of the first, and
+    commit the deletes twice."""
+    docs, one, two = table(spark, sf_dir, "documents"), "byte_bpe_50k", "byte_bpe_multi_50k"
     rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
-    rollup.apply(1, rollups.counted(docs, "byte_bpe_50k"))
-    rollup.apply(2, rollups.copies(docs, "byte_bpe_50k"))
-    rollup.apply(2, rollups.copies(docs, "byte_bpe_50k"))
+    rollup.apply(1, rollups.counted(docs, one, rollups.default_ranks_path(one)))
+    rollup.apply(2, rollups.counted(docs, two, rollups.default_ranks_path(two)))
+    rollup.apply(3, rollups.copies(docs, one, two))
+    rollup.apply(4, rollups.revised(rollup, one))
+    rollup.apply(3, rollups.copies(docs, one, two))
     return rollup.totals()
 
 

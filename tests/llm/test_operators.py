@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parchment.llm import (
-    components, graphs, labels, minhash, mixing, quality, rollups, rules, sentencepiece_sampling as sampling, simhash, store, substrings, toxicity, warc,
+    components, graphs, labels, minhash, mixing, quality, queries, rollups, rules, sentencepiece_sampling as sampling, simhash, store, substrings, toxicity, warc,
 )
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -357,32 +357,108 @@ def test_encoding_round_trip(docs, empty, texts):
 # ---- 2
 
 
-def test_rollups(spark, tmp_path):
-    rng = random.Random(6)
-    r = rollups.Rollup(spark, store.new_path(spark, "rollup-test"))
-    truth: dict = {}
-    for batch in range(1, 6):
-        changes = []
+CHANGES = "doc_id long, op string, source string, lang string, version string, tokens long, seq int, note string"
+
+
+def change_batches(rng, n):
+    out = []
+    for _ in range(n):
+        rows = []
         for doc in rng.sample(range(30), 15):
             op = rng.choice(["upsert", "upsert", "delete"])
-            row = (doc, op, rng.choice(["a", "b", None]), "en", rng.choice(["v1", "v2"]), rng.randrange(100), rng.randrange(3), "extra")
-            changes.append(row)
+            rows.append((doc, op, rng.choice(["a", "b", None]), "en", rng.choice(["v1", "v2"]), rng.randrange(100), rng.randrange(3), "extra"))
+        out.append([*rows, (None, "upsert", "a", "en", "v1", 5, 0, "x")])
+    return out
+
+
+def totals_after(batches):
+    truth: dict = {}
+    for batch in sorted(batches):
+        for doc, op, source, lang, version, n, _, _ in batches[batch][:-1]:
             if op == "delete":
-                truth.pop((doc, row[4]), None)
+                truth.pop((doc, version), None)
             else:
-                truth[doc, row[4]] = (row[2], "en", row[5])
-        changes.append((None, "upsert", "a", "en", "v1", 5, 0, "x"))
-        df = spark.createDataFrame(changes, "doc_id long, op string, source string, lang string, version string, tokens long, seq int, note string")
+                truth[doc, version] = (source, lang, n)
+    sums = collections.defaultdict(lambda: [0, 0])
+    for (_, v), (s, lang, n) in truth.items():
+        sums[s, lang, v][0] += 1
+        sums[s, lang, v][1] += n
+    return dict(sums)
+
+
+def totals_of(rollup):
+    return {(x["source"], x["lang"], x["version"]): [x["n_docs"], x["n_tokens"]] for x in rollup.totals().collect()}
+
+
+@pytest.mark.parametrize("order", [[1, 2, 3, 4, 5], [3, 1, 5, 2, 4], [5, 4, 3, 2, 1]])
+def test_rollups(spark, order):
+    """Totals are those of the batches in the order of their ids, in whatever order they are committed."""
+    batches = dict(zip(range(1, 6), change_batches(random.Random(6), 5), strict=True))
+    r = rollups.Rollup(spark, store.new_path(spark, "rollup-test"))
+    done = {}
+    for k, batch in enumerate(order):
+        df = spark.createDataFrame(batches[batch], CHANGES)
         assert r.apply(batch, df) and not r.apply(batch, df)
-        sums = collections.defaultdict(lambda: [0, 0])
-        for (_, v), (s, lang, n) in truth.items():
-            sums[s, lang, v][0] += 1
-            sums[s, lang, v][1] += n
-        assert {(x["source"], x["lang"], x["version"]): [x["n_docs"], x["n_tokens"]] for x in r.totals().collect()} == dict(sums)
-    # a batch that failed before its commit leaves no trace in totals, and is applied afresh
-    before = r.totals().count()
-    df.write.mode("overwrite").parquet(f"{r.root}/deltas/9")
-    assert r.totals().count() == before and r.committed() == [1, 2, 3, 4, 5]
+        done[batch] = batches[batch]
+        assert totals_of(r) == totals_after(done)
+        if k == 2:
+            assert r.compact() and totals_of(r) == totals_after(done)
+    assert r.committed() == [1, 2, 3, 4, 5]
+    assert r.apply(6, df.limit(0)) and totals_of(r) == totals_after(done)  # no changes
+    live = {(x["doc_id"], x["version"]): x["tokens"] for x in r.current().collect()}
+    assert sum(live.values()) == sum(n for _, n in totals_of(r).values())
+    # what failed before its commit leaves no trace
+    df.write.parquet(f"{r.root}/aside/9-x/deltas")
+    assert totals_of(r) == totals_after(done)
+    with pytest.raises(ValueError, match="start at 0"):
+        r.apply(-1, df)
+
+
+def test_rollups_of_two_writers(spark, monkeypatch):
+    """A batch that another writer commits between the reading of the state and the commit counts in the totals."""
+    one, two, three = change_batches(random.Random(7), 3)
+    frame = lambda rows: spark.createDataFrame(rows, CHANGES)
+    root = store.new_path(spark, "rollup-race")
+    a, b = rollups.Rollup(spark, root), rollups.Rollup(spark, root)
+    a.apply(1, frame(one))
+    deltas, calls = a._deltas, []
+
+    def late(*args):
+        if not calls:
+            calls.append(b.apply(2, frame(two)))
+        return deltas(*args)
+
+    monkeypatch.setattr(a, "_deltas", late)
+    assert a.apply(3, frame(three)) and calls == [True]
+    assert totals_of(a) == totals_after({1: one, 2: two, 3: three})
+    again = []
+    monkeypatch.setattr(a, "_deltas", lambda *args: again or again.append(b.apply(4, frame(one))) or deltas(*args))
+    assert not a.apply(4, frame(one))  # the other writer was first
+    assert totals_of(a) == totals_after({1: one, 2: two, 3: three, 4: one})
+
+
+def test_token_count_query(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {i: sentences(rng, rng.randrange(1, 40)) + rng.choice(["", " zażółć", " \n"]) for i in range(40)} | {40: "", 41: None, 42: " \t"}
+    texts |= {50 + i: texts[i] for i in (3, 3, 7, 40)} | {60: texts[3]}
+    rows = [(i, t, ["en", None][i % 2], f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    least = {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        least.setdefault(t, i)
+    want = collections.defaultdict(lambda: [0, 0])
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        enc = rollups._encoder(open(rollups.default_ranks_path(version), "rb").read())
+        for i, t, lang, source, _ in rows:
+            if t is not None and least[t] != i:
+                continue
+            n = len(enc.encode_ordinary(t or ""))
+            if version == "byte_bpe_50k":
+                source, n = (source, n + 1) if n else ("empty", 0)
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += n
+    got = {(r["source"], r["lang"], r["version"]): [r["n_docs"], r["n_tokens"]] for r in queries.op2_token_counts(spark, f"file://{tmp_path}").collect()}
+    assert got == dict(want) and ("empty", "en", "byte_bpe_50k") in got
 
 
 def test_token_counts(docs, empty):
