@@ -1,14 +1,16 @@
 """Web archives packed in ZIP files: written part by part, read by ranges without extraction.
 
-Each part of the pages becomes one ZIP with two stored members: ``records.warc.gz``, a gzip member per WARC
-record, and ``index.cdx``, a line per record with its place. The reader finds both through the central directory
-(ZIP64 included) and reads byte ranges of the archive itself.
+Each part of the pages becomes one ZIP with two stored members: ``archive/data.warc.gz``, a gzip member per WARC record, and
+``indexes/index.cdxj``, a line per record with its place. The reader finds the members with records and the indexes of any such
+archive through its central directory (ZIP64 included), plans ranges of records from the indexes, and deals the ranges over
+tasks, each of which reads its bytes of the archive itself.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 import zipfile
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 from parchment.llm.store import new_path, open_fs
 
-RECORDS, INDEX = "records.warc.gz", "index.cdx"
-#: Bytes of records between two reads of the archive.
-READ_BYTES = 4 << 20
+RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Bytes of one read of the archive at most, unless a record is longer, and of the records that a task is given at a time.
+READ_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 #: Parts that the rows of one repeated payload are dealt over.
 SALTS = 32
 
@@ -76,6 +78,13 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """The entity of a block that is an HTTP message, or the whole block."""
+    if head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
 # ---- ZIP
 
 
@@ -153,23 +162,85 @@ def member_range(source: Range, entry: tuple[int, int, int, int]) -> tuple[int,
     return local + 30 + n_name + n_extra, full
 
 
-def records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record that the index of an archive lists, by range reads of READ_BYTES or one record at least."""
-    source = Range(path)
+def inflated(data: bytes) -> bytes:
+    """All gzip members of ``data``, or ``data`` itself if it isn't gzip."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    while data:
+        one = zlib.decompressobj(31)
+        parts.append(one.decompress(data) + one.flush())
+        data = one.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
+def index_places(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """``(file, offset, length)`` of each line of an index: JSON after a key and a time, or fields named by a first line."""
+    letters: list[str] = []
+    for line in inflated(data).decode("utf-8").splitlines():
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+        elif "{" in line and not letters:
+            own = json.loads(line[line.index("{") :])
+            if "offset" in own:  # other lines describe the index
+                yield own.get("filename", ""), int(own["offset"]), int(own["length"])
+        elif line.strip():
+            own = dict(zip(letters, line.split(), strict=False))
+            if not {"V", "S"} <= set(own):
+                raise ValueError("index without offsets and lengths")
+            yield own.get("g", ""), int(own["V"]), int(own["S"])
+
+
+def places(source: Range) -> list[tuple[int, int]]:
+    """Where the records of an archive lie, ``(offset, length)`` in the archive, in this order. Every member that holds records
+    must be in an index, except an empty one; the members are found by their names' ends, an index's file by its last part."""
     found = directory(source)
-    index_at, index_n = member_range(source, found[INDEX])
-    base, total = member_range(source, found[RECORDS])
-    places = [tuple(map(int, x.split(b" ")[:2])) for x in source.read(index_at, index_n).splitlines()]
+    ends = lambda *kinds: [n for n in found if n.lower().endswith(kinds)]
+    members = {n: member_range(source, found[n]) for n in ends(".warc", ".warc.gz")}
+    by_last = {n.rpartition("/")[2]: n for n in members}
+    if len(by_last) < len(members):
+        raise ValueError("two members with records have one name")
+    out, seen = [], set()
+    for name in ends(".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"):
+        for file, offset, length in index_places(source.read(*member_range(source, found[name]))):
+            member = by_last.get(file.rpartition("/")[2]) if file else next(iter(members), None) if len(members) == 1 else None
+            if member is None:
+                raise ValueError(f"index names a file that isn't there: {file!r}")
+            base, total = members[member]
+            if offset < 0 or length < 1 or offset + length > total:
+                raise ValueError("index points outside its archive")
+            seen.add(member)
+            out.append((base + offset, length))
+    bare = [n for n, (_, total) in members.items() if total and n not in seen]
+    if bare:
+        raise ValueError(f"no index for {', '.join(bare)}")
+    return sorted(set(out))
+
+
+def ranges(found: list[tuple[int, int]], most: int = TASK_BYTES) -> Iterator[list[tuple[int, int]]]:
+    """Runs of places whose records add up to ``most`` bytes, or one record."""
+    own: list[tuple[int, int]] = []
+    size = 0
+    for at, n in found:
+        if own and size + n > most:
+            yield own
+            own, size = [], 0
+        own.append((at, n))
+        size += n
+    if own:
+        yield own
+
+
+def records_at(source: Range, found: list[tuple[int, int]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records at these places, by reads of READ_BYTES or one record at least."""
     k = 0
-    while k < len(places):
-        begin, end, j = places[k][0], sum(places[k]), k + 1
-        while j < len(places) and places[j][0] == end and end + places[j][1] - begin <= READ_BYTES:
-            end, j = end + places[j][1], j + 1
-        if end > total:
-            raise ValueError("index points outside its archive")
-        block = memoryview(source.read(base + begin, end - begin))
-        for at, n in places[k:j]:
-            yield parse_record(zlib.decompress(block[at - begin : at - begin + n], 31))
+    while k < len(found):
+        begin, end, j = found[k][0], sum(found[k]), k + 1
+        while j < len(found) and found[j][0] <= end and sum(found[j]) - begin <= READ_BYTES:
+            end, j = max(end, sum(found[j])), j + 1
+        block = memoryview(source.read(begin, end - begin))
+        for at, n in found[k:j]:
+            yield parse_record(inflated(bytes(block[at - begin : at - begin + n])))
         k = j
 
 
@@ -185,11 +256,12 @@ class ArchiveWriter:
         self.member = self.zip.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
         self.lines, self.at = [], 0
 
-    def add(self, data: bytes, key: object) -> None:
+    def add(self, data: bytes, key: int | None, url: str | None) -> None:
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         packed = packer.compress(data) + packer.flush()
         self.member.write(packed)
-        self.lines.append(f"{self.at} {len(packed)} {key}\n")
+        own = {"url": url, "page": key, "filename": RECORDS.rpartition("/")[2], "offset": self.at, "length": len(packed)}
+        self.lines.append(f"{'-' if key is None else key} 19700101000000 {json.dumps(own)}\n")
         self.at += len(packed)
 
     def close(self) -> tuple[str, int, int]:
@@ -244,7 +316,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
             for page_id, url, payload, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or ArchiveWriter(folder, f"part-{TaskContext.get().partitionId():06d}.zip")
                 name = base64.b32encode(sha).decode()
-                out.add(record_bytes(page_id, url, payload, name, len(payload), refers_to), page_id)
+                out.add(record_bytes(page_id, url, payload, name, len(payload), refers_to), page_id, url)
         if out:
             path, n, count = out.close()
             yield pa.RecordBatch.from_arrays(
@@ -257,11 +329,30 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """Rows of every record in the archives that ``manifest.path`` names, each archive by its own task.
+def planned(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``(path, at, n)``: ranges of the records in the archives that ``manifest(path, bytes)`` names, dealt over as many tasks
+    as there are archives at least, and more where archives are larger than ``task_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for part in ranges(places(Range(path)), task_bytes):
+                    at, n = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))], names=["path", "at", "n"])
+
+    size = F.ceil(F.coalesce(F.col("bytes"), F.lit(0)) / task_bytes)
+    tasks, archives = manifest.agg(F.sum(F.greatest(size, F.lit(1))), F.count("*")).first()
+    paths = manifest.select("path").repartition(max(1, archives), "path")
+    found = paths.mapInArrow(run, "path string, at array<long>, n array<long>")
+    return found.repartition(max(1, int(tasks or 0)), "path", F.element_at("at", 1))
+
 
-    A response's length and digest come from its payload as read, and are checked against its header; a revisit's
-    are those its header gives.
+def read_archives(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Rows of every record in the archives that ``manifest.path`` names; responses and revisits, other records apart.
+
+    A response's length and digest come from its payload as read, and are checked against its header if that gives them; a
+    revisit's are those its header gives. page_id and refers_to are null in archives that weren't written here. Raises
+    ValueError for what isn't such an archive and for records without an index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,22 +361,28 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             + [("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
         )
         whole = lambda x: None if x is None else int(x)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for head, block in records(path):
-                    n, sha = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
+                for head, block in records_at(Range(path), list(zip(at, n, strict=True))):
                     kind = head["warc-type"]
-                    if kind == "response" and (len(block) != n or digest(block) != sha):
-                        raise ValueError(f"a payload in {path} isn't what its header says")
-                    rows.append((whole(head.get("x-page-id")), n, sha, kind, whole(head.get("x-refers-to-page")), head.get("warc-target-uri")))
+                    if kind not in ("response", "revisit"):
+                        continue
+                    size, sha = whole(head.get("x-payload-length")), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    if kind == "response":
+                        payload = payload_of(head, block)
+                        if size not in (None, len(payload)) or sha not in (None, digest(payload)):
+                            raise ValueError(f"a payload in {path} isn't what its header says")
+                        size, sha = len(payload), digest(payload)
+                    rows.append((whole(head.get("x-page-id")), size, sha, kind, whole(head.get("x-refers-to-page")), head.get("warc-target-uri")))
                     if len(rows) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                        yield made(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                    yield made(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, ROWS)
+    return planned(manifest, task_bytes).mapInArrow(run, ROWS)
 
 
 def archived(spark: SparkSession, pages: DataFrame, min_payload: int = 0, folder: str | None = None) -> DataFrame:

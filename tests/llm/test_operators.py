@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -205,6 +206,53 @@ def test_warc(spark):
     assert {r["record_type"] for r in warc.archived(spark, pages, min_payload=10**6).collect()} == {"response"}
 
 
+def foreign(path, index="indexes/index.cdx", lines=None):
+    """An archive of two members with records, made by the standard library, and what it holds."""
+    records, found, z = {}, [], zipfile.ZipFile(path, "w")
+    for name in ("archive/one.warc.gz", "archive/two.warc"):
+        data, at = b"", []
+        for k in range(40):
+            body = f"<p>{name} {k}</p>".encode() * 30
+            block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+            kind = "warcinfo" if k == 0 else "response"
+            head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://{name}/{k}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+            own = head.encode() + block + b"\r\n\r\n"
+            own = gzip.compress(own) if name.endswith("gz") else own
+            at.append((len(data), len(own)))
+            data += own
+            if k:
+                records[f"http://{name}/{k}"] = (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        z.writestr(name, data)
+        found += [(name.rpartition("/")[2], *x) for x in reversed(at)]
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"k 2020 u text/html 200 d - - {n} {o} {f}\n" for f, o, n in found)
+    cdxj = '!meta 0 {"software": "x"}\n' + "".join(f'k 2020 {{"offset": "{o}", "length": "{n}", "filename": "{f}"}}\n' for f, o, n in found)
+    if index:
+        z.writestr(index, gzip.compress((cdxj if "cdxj" in index else cdx).encode()) if index.endswith("gz") else cdxj if "cdxj" in index else cdx)
+    z.close()
+    return records
+
+
+def test_foreign_archives(spark, tmp_path):
+    want = {}
+    for k, index in enumerate(["indexes/index.cdx", "indexes/index.cdxj", "indexes/index.cdx.gz"]):
+        want[k] = foreign(str(tmp_path / f"{k}.zip"), index)
+    rows = [(str(tmp_path / f"{k}.zip"), (tmp_path / f"{k}.zip").stat().st_size) for k in want]
+    manifest = spark.createDataFrame(rows, "path string, bytes long")
+    for most in (warc.TASK_BYTES, 3000):
+        plan = warc.planned(manifest, most)
+        assert plan.rdd.getNumPartitions() >= len(want) and (most > 3000 or plan.count() > 20)
+        got = warc.read_archives(manifest, most).collect()
+        assert collections.Counter((r["url"], r["payload_bytes"], r["payload_digest"]) for r in got) == collections.Counter((u, *x) for own in want.values() for u, x in own.items())
+    foreign(str(tmp_path / "bare.zip"), "")
+    with pytest.raises(ValueError, match="no index for archive/one.warc.gz"):
+        warc.places(warc.Range(str(tmp_path / "bare.zip")))
+    with zipfile.ZipFile(tmp_path / "off.zip", "w") as z:
+        z.writestr("a.warc", b"x")
+        z.writestr("a.cdxj", 'k 1 {"offset": 0, "length": 9}')
+    with pytest.raises(ValueError, match="outside"):
+        warc.places(warc.Range(str(tmp_path / "off.zip")))
+
+
 def test_zip_directory_with_zip64_and_faults(tmp_path, monkeypatch):
     path = str(tmp_path / "a.zip")
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
