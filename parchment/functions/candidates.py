@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 from parchment.functions import fixed
 from parchment.functions.text import digits
 
-_pl, _en, _roman = (x.replace(" ", "|") for x in (fixed.MONTHS_PL, fixed.MONTHS_EN, fixed.ROMAN))
 TAX_ID = f"(?iU)({fixed.TAX_ID})"
-DATE = (
-    rf"(?iU)((?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}"
-    rf"|\d{{1,2}}\s+(?:{_pl})\s+\d{{4}}|\d{{1,2}}\s+(?:{_roman})\s+\d{{4}}"
-    rf"|(?:{_en})\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+(?:{_en})\s+\d{{4}}))"
-)
+DATE = f"(?iU)({fixed.DATE})"
+AMOUNT_PLAIN = f"(?iU)({fixed.AMOUNT})"
+#: The same matches as AMOUNT_PLAIN, without its cubic time on runs of blanks and square time on runs and chains of digits: what
+#: fails from the beginning of a run, or of a chain of groups of three, isn't tried again from within it, unless the last match
+#: ended there.
+_RUN = r"(?:(?<!\d)|\G)"
+_CHAIN = rf"(?:{_RUN}|(?<=\d)(?=\d{{3}}(?!\d)))(?:(?<!\d[\s.,])|\G|(?<=\G[\s.,])|(?!\d{{3}}[\s.,]))"
 AMOUNT = (
-    rf"(?iU)((?:{fixed.CURRENCY_MARK})?\s*-?\s*(?:\d{{1,3}}(?:[\s.,]\d{{3}})+[.,]\d{{2}}|\d+[.,]\d{{2}})"
-    rf"\s*(?:{fixed.CURRENCY_MARK})?)"
+    rf"(?iU)({fixed.CURRENCY_MARK}?(?:(?<!\s)\s++)?(?:-\s*+)?"
+    rf"(?:{_CHAIN}\d{{1,3}}(?:[\s.,]\d{{3}})+[.,]\d{{2}}|{_RUN}\d++[.,]\d{{2}})\s*+{fixed.CURRENCY_MARK}?)"
 )
 KEYWORD = "(?iU)(" + "|".join(re.escape(k).replace(r"\ ", " ") for k in fixed.KEYWORDS) + ")"
 
@@ -29,22 +31,45 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
+#: Put around matches; a character that no text may hold, and that no pattern matches.
+MARK = "\ufdd0"
+#: Lengths that are summed at once, which keeps the time of a running sum near linear.
+BLOCK = 256
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def running(lengths: Column) -> Column:
+    """Sums of all earlier lengths, for each place of a non-empty array."""
+
+    def scan(values: Column, start: Column) -> Column:
+        nothing = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(values, nothing, step, lambda acc: acc["out"])
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda k: F.slice(lengths, k * BLOCK + 1, F.lit(BLOCK)))
+    return once(blocks, lambda b: F.flatten(F.zip_with(b, scan(F.transform(b, total), F.lit(0)), scan)))
+
+
 def spans(text: Column, pattern: str, kind: str) -> Column:
     """``array<struct<kind, start, text>>`` of all matches.
 
-    Starts follow from the lengths of what lies between matches: one split, one extraction and one fold over both.
+    The pattern runs once and puts marks around its matches; a split at the marks gives the gaps and the matches in turn, and
+    their lengths the starts.
     """
-    parts = F.zip_with(F.split(text, pattern, -1), matches(text, pattern), lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
-    kinds = "struct<at:int,found:array<struct<kind:string,start:int,text:string>>>"
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,text:string>>").alias("found")).cast(kinds)
+    out = "array<struct<kind:string,start:int,text:string>>"
+    marked = F.regexp_replace(F.translate(text, MARK, "\ufffd"), pattern, f"{MARK}$1{MARK}")
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), part["text"].alias("text"))
-        more = F.struct((start + F.length(part["text"])).alias("at"), F.array_append(acc["found"], one).alias("found")).cast(kinds)
-        return F.when(part["text"].isNull(), acc).otherwise(more)
+    def found(parts: Column) -> Column:
+        one = lambda starts, k: F.struct(F.lit(kind).alias("kind"), starts[2 * k - 1].alias("start"), parts[2 * k - 1].alias("text"))
+        some = once(running(F.transform(parts, F.length)), lambda starts: F.transform(F.sequence(F.lit(1), ((F.size(parts) - 1) / 2).cast("int")), lambda k: one(starts, k)))
+        return F.when(F.size(parts) > 1, some).otherwise(F.array().cast(out))
 
-    return F.aggregate(parts, nothing, step, lambda acc: acc["found"])
+    return F.when(text.isNotNull(), once(F.split(marked, MARK, -1), found))
 
 
 def tax_ids(text: Column) -> Column:
@@ -60,9 +85,10 @@ def amounts(text: Column) -> Column:
 
 
 def all_spans(text: Column) -> Column:
-    """Tax ids, dates, amounts, in this order of kinds."""
+    """Tax ids, dates, amounts, in this order of kinds; each of them has a digit."""
     ids = F.filter(spans(text, TAX_ID, "nip"), lambda x: F.length(digits(x["text"])) == 10)
-    return F.concat(ids, spans(text, DATE, "date"), spans(text, AMOUNT, "amount"))
+    every = F.concat(ids, spans(text, DATE, "date"), spans(text, AMOUNT, "amount"))
+    return F.when(text.rlike(r"(?U)\d"), every).when(text.isNotNull(), F.array().cast("array<struct<kind:string,start:int,text:string>>"))
 
 
 def occurs_in(value: Column, source: Column, normal_value: Column, normal_source: Column) -> Column:

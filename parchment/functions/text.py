@@ -25,6 +25,15 @@ def normal_form(text: str) -> str:
     return _SPACE.sub(" ", "\n".join(lines)).strip().casefold()
 
 
+def sound(text: str) -> str:
+    """``text`` with halves of surrogate pairs joined, or replaced where they stand alone; such halves are in no UTF-8."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
 def decoded(data: bytes, declared: str | None = None) -> str:
     """Text of bytes: by byte order mark, the declared charset, a guess, and at last UTF-8 with replacements."""
     for mark, name in (
@@ -68,7 +77,9 @@ def normalized(text: Column) -> Column:
 
 
 def composed(text: Column) -> Column:
-    return _mapped("string", lambda x: unicodedata.normalize("NFC", x))(text)
+    """Canonical composition; ASCII text is composed already and never leaves the JVM."""
+    other = F.when(~text.rlike(r"^\p{ASCII}*$"), text)
+    return F.coalesce(_mapped("string", lambda x: unicodedata.normalize("NFC", x))(other), text)
 
 
 def folded_name(text: Column) -> Column:
@@ -126,7 +137,7 @@ def amount_even(text: Column) -> Column:
 def currency(text: Column) -> Column:
     """An unambiguous symbol's code, a known code in upper case, or null."""
     x = F.trim(text)
-    out = F.when(F.upper(x).isin(fixed.ISO_4217), F.upper(x))
+    out = F.when(F.upper(x).isin(*fixed.ISO_4217), F.upper(x))
     for symbol, code in fixed.SYMBOLS.items():
         out = F.when(x == symbol, F.lit(code)).otherwise(out)
     return out

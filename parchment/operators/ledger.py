@@ -13,21 +13,39 @@ def limited(pending: DataFrame, limit: int | None, attempted: int, id_col: str =
     return pending.orderBy(id_col).limit(max(limit - attempted, 0))
 
 
-def budget_prefix(rows: DataFrame, cost_col: str, budget: int | None, reserved: int, id_col: str = "id", ranges: int = 64) -> DataFrame:
-    """Rows up to the first whose running cost by id passes what is left of the budget, with ``running``.
+def running_sum(rows: DataFrame, cost_col: str, id_col: str = "id", ranges: int = 64) -> DataFrame:
+    """``rows`` with ``running``, the sum of costs by id, without a task that holds all rows.
 
-    Costs must be positive. Ids are dealt into ranges; sums of the ranges (one row each) give every range its offset, and
-    the running sum within a range is local, so that no task holds all rows.
+    Bounds between ranges of ids are taken from 16 ids a range, those with the least hashes; they depend on the ids alone, so a
+    row is in one range wherever the plan works it out. Sums of the ranges (one row each) give every range its offset, and the
+    sum within a range is local. Columns of the input keep their names and values.
     """
+    sample = [r[0] for r in rows.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(16 * ranges).collect()]
+    bounds = sorted(sample)[16::16]
+    span, total, before = (fresh(rows, x) for x in ("_range", "_sum", "_before"))
+    number = F.array(*[F.lit(x) for x in bounds]).cast(f"array<{rows.schema[id_col].dataType.simpleString()}>")
+    ranged = rows.withColumn(span, F.size(F.filter(number, lambda x: x <= F.col(id_col))))
+    sums = ranged.groupBy(span).agg(F.sum(cost_col).alias(total))
+    earlier = Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(span, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(before))
+    own = Window.partitionBy(span).orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), span)
+    return out.withColumn("running", (F.col(before) + F.sum(cost_col).over(own)).cast("long")).drop(span, before)
+
+
+def budget_prefix(rows: DataFrame, cost_col: str, budget: int | None, reserved: int, id_col: str = "id", ranges: int = 64) -> DataFrame:
+    """Rows up to the first whose running cost by id passes what is left of the budget, with ``running``. Costs must be positive."""
     if budget is None:
         return rows.withColumn("running", F.lit(None).cast("long"))
-    ranged = rows.repartitionByRange(ranges, id_col).withColumn("_range", F.spark_partition_id())
-    sums = ranged.groupBy("_range").agg(F.sum(cost_col).alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_range").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), "_range").withColumn("running", (F.col("_before") + F.sum(cost_col).over(own)).cast("long"))
-    return out.where(F.col("running") <= budget - reserved).drop("_range", "_before")
+    return running_sum(rows, cost_col, id_col, ranges).where(F.col("running") <= budget - reserved)
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``rows``."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def status_counts(documents: DataFrame, files: DataFrame) -> DataFrame:

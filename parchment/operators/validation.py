@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import candidates, fixed, text
+from parchment.functions.text import sound
 
 PARSED = (
     "doc_type string, counterparty_name string, counterparty_tax_id string, issue_date string, due_date string, "
@@ -19,40 +20,44 @@ _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)")
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
 
+class Number(str):
+    """A JSON number as its digits, however many."""
+
+
 def parsed(raw: str | None) -> tuple[dict | None, str | None]:
     """Fields of an answer, or what is wrong with it. Keys that aren't fields are passed over; of a repeated key the
-    last counts."""
+    last counts. Never raises, and gives nothing that can't be encoded."""
     try:
-        data = json.loads(raw or "", parse_float=str, parse_int=str)
+        data = json.loads(raw or "", parse_float=Number, parse_int=Number, parse_constant=Number)
     except (ValueError, RecursionError) as e:
-        return None, f"not JSON: {e}"[:500]
+        return None, sound(f"not JSON: {e}"[:500])
     if not isinstance(data, dict):
         return None, "not an object"
-    # numbers come as text so that their digits stay; a second reading tells which they were
-    kinds = json.loads(raw)
-    if data.get("doc_type") not in fixed.DOC_TYPES:
+    data = {k: sound(v) if type(v) is str else v for k, v in data.items()}
+    is_text = lambda name: type(data.get(name)) is str
+    if not is_text("doc_type") or data["doc_type"] not in fixed.DOC_TYPES:
         return None, "doc_type is missing or unknown"
-    if not isinstance(kinds.get("summary"), str):
+    if not is_text("summary"):
         return None, "summary is missing or not text"
     out = {"doc_type": data["doc_type"], "summary": data["summary"]}
     for name in ("counterparty_name", "counterparty_tax_id", "currency"):
-        if kinds.get(name) is not None and not isinstance(kinds[name], str):
+        if data.get(name) is not None and not is_text(name):
             return None, f"{name} isn't text"
         out[name] = data.get(name)
     for name in ("issue_date", "due_date"):
-        value = kinds.get(name)
+        value = data.get(name)
         if value is not None:
             try:
-                if not isinstance(value, str) or not _DAY.fullmatch(value):
+                if not is_text(name) or not _DAY.fullmatch(value):
                     raise ValueError
                 pd.Timestamp(value)
             except ValueError:
                 return None, f"{name} isn't a date"
         out[name] = value
-    value = kinds.get("gross_amount")
-    if isinstance(value, bool) or not (value is None or isinstance(value, (int, float)) or isinstance(value, str) and _NUMBER.fullmatch(value.strip())):
+    value = data.get("gross_amount")
+    if not (value is None or isinstance(value, Number) or is_text("gross_amount") and _NUMBER.fullmatch(value.strip())):
         return None, "gross_amount isn't a number"
-    out["gross_amount"] = None if value is None else str(data["gross_amount"]).strip()
+    out["gross_amount"] = None if value is None else str(value).strip()
     return out, None
 
 

@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text, spread over all cores where they lie in fewer files than there are: a file of one row group is read
+    by one task, whatever its size, and what is done to texts here costs far more than moving them. Many files stay where they are."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(4 * cores) if len(docs.inputFiles()) < cores else docs
+
+
 def marked() -> Column:
     return F.expr(MARKED.replace("CAST(doc_id % 100 AS VARCHAR)", "CAST(doc_id % 100 AS STRING)").replace("AS VARCHAR", "AS STRING"))
 
@@ -33,7 +41,7 @@ def sql_re(pattern: str) -> str:
 
 @query(f"SELECT doc_id, sha256({NORMAL}) AS identity FROM documents WHERE text IS NOT NULL")
 def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", text.sha(text.normalized(F.col("text"))).alias("identity"))
 
 
@@ -42,7 +50,7 @@ def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents WHERE text IS NOT NULL GROUP BY 1"""
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     return identity.groups(docs, text.sha(text.normalized(F.col("text"))), "doc_id")
 
 
@@ -51,7 +59,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(count(*) - count(DISTINCT {NORMAL}) AS BIGINT) AS duplicate_files FROM documents WHERE text IS NOT NULL"""
 )
 def dedup_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     return identity.balance(docs, text.sha(text.normalized_native(text.composed(F.col("text")))))
 
 
@@ -79,7 +87,7 @@ _HEADS = "(SELECT page_id AS id, 'pages' AS origin, html[1:8192] AS h FROM pages
 @query(f"SELECT origin, id, {_FORMAT} AS format FROM {_HEADS}")
 def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").where("html is not null").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), formats.detect_text(F.col("html")).alias("format"))
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), formats.detect_text(F.col("text")).alias("format"))
+    docs = texts(spark, sf_dir).select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), formats.detect_text(F.col("text")).alias("format"))
     return pages.unionByName(docs)
 
 
@@ -102,9 +110,9 @@ def _found(kind: str, pattern: str, more: str = "") -> str:
 _TEN = r"length(regexp_replace(m, '\D', '', 'g')) = 10"
 
 
-@query(" UNION ALL ".join([_found("nip", candidates.TAX_ID, _TEN), _found("date", candidates.DATE), _found("amount", candidates.AMOUNT)]))
+@query(" UNION ALL ".join([_found("nip", candidates.TAX_ID, _TEN), _found("date", candidates.DATE), _found("amount", candidates.AMOUNT_PLAIN)]))
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", marked().alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", marked().alias("t"))
     return docs.select("doc_id", F.explode(candidates.all_spans(F.col("t"))).alias("m")).select("doc_id", "m.kind", F.col("m.text").alias("match"))
 
 
@@ -117,11 +125,11 @@ def _starts(kind: str, pattern: str, more: str = "true") -> str:
 
 @query(
     "SELECT doc_id, kind, CAST(u.s AS INTEGER) AS start, u.m AS match FROM ("
-    + " UNION ALL ".join([_starts("nip", candidates.TAX_ID, _TEN), _starts("date", candidates.DATE), _starts("amount", candidates.AMOUNT), _starts("keyword", candidates.KEYWORD)])
+    + " UNION ALL ".join([_starts("nip", candidates.TAX_ID, _TEN), _starts("date", candidates.DATE), _starts("amount", candidates.AMOUNT_PLAIN), _starts("keyword", candidates.KEYWORD)])
     + ")"
 )
 def candidate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", marked().alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", marked().alias("t"))
     every = F.concat(candidates.all_spans(F.col("t")), candidates.spans(F.col("t"), candidates.KEYWORD, "keyword"))
     return docs.select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.kind", "m.start", F.col("m.text").alias("match"))
 
@@ -131,7 +139,7 @@ _CLEAN = r"trim(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' '
 
 @query(f"SELECT doc_id, {_CLEAN} AS clean FROM documents WHERE text IS NOT NULL")
 def context_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", text.context_clean(text.composed(F.col("text"))).alias("clean"))
 
 
@@ -148,13 +156,13 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of 1500 characters; the greedy windows are a fold, held against a Python specification in tests."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.context_clean(text.composed(marked())).alias("clean"), F.lit(1500).alias("b"))
+    docs = texts(spark, sf_dir).select("doc_id", text.context_clean(text.composed(marked())).alias("clean"), F.lit(1500).alias("b"))
     return windowing.with_context(docs, "clean", "b").select("doc_id", "context", F.size("windows").alias("n_windows"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", windowing.estimated_tokens(F.col("text")).alias("tokens"))
 
 
@@ -170,7 +178,7 @@ def prompt_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS id FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 93")
 def limit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A limit of 100 documents over all runs, 7 of which earlier runs have used."""
-    ids = table(spark, sf_dir, "documents").where("text is not null").select(text.sha(F.col("text")).alias("id")).distinct()
+    ids = texts(spark, sf_dir).select(text.sha(F.col("text")).alias("id")).distinct()
     return ledger.limited(ids, 100, 7)
 
 
@@ -179,7 +187,7 @@ def limit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT sha256(text) AS id, CAST(ceil(min(length(text)) / 4.0) + 300 AS BIGINT) AS cost FROM documents WHERE text IS NOT NULL GROUP BY 1)) WHERE running <= 200000 - 1234"""
 )
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     rows = docs.groupBy(text.sha(F.col("text")).alias("id")).agg((windowing.estimated_tokens(F.min(F.struct(F.length("text"), "text"))["text"]) + 300).alias("cost"))
     return ledger.budget_prefix(rows, "cost", 200_000, 1234)
 
@@ -189,7 +197,7 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.text IS NOT NULL AND b.text IS NOT NULL"""
 )
 def occurs_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("item_id", F.col("doc_id") % 40)
+    docs = texts(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40)
     items = table(spark, sf_dir, "benchmark").where("text is not null").withColumnRenamed("text", "item")
     both = docs.join(items, "item_id").withColumns({"n": text.normalized(F.col("text")), "v": text.normalized(F.col("item"))})
     return both.select("doc_id", "item_id", candidates.occurs_in(F.lit(None).cast("string"), F.col("text"), F.col("v"), F.col("n")).alias("occurs"))
@@ -222,7 +230,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 )
 def values_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that occurs in a document, of all pairs; and of two tax ids a document, its own and its neighbour's, those found in it."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir)
     items = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.lit("benchmark").alias("kind"), F.col("item_id").cast("string").alias("value"))
     two = lambda d: F.lpad((d % 100).cast("string"), 2, "0")
     values = F.array(F.concat(F.lit("526000"), two(F.col("doc_id")), F.lit("46")), F.concat(F.lit("PL 526 000 "), two(F.col("doc_id") + 1), F.lit(" 46")))
@@ -234,7 +242,7 @@ def values_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that a fake backend might give: every kind of right and wrong field occurs."""
     d = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", marked().alias("source"), "n_chars", "lang")
+    docs = texts(spark, sf_dir).select("doc_id", marked().alias("source"), "n_chars", "lang")
     answer = F.to_json(
         F.struct(
             F.when(d % 11 == 0, "memo").otherwise("invoice").alias("doc_type"),

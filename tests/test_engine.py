@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 import unicodedata
 import zipfile
 from decimal import Decimal
@@ -8,6 +9,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parchment.functions import candidates, fixed, text
@@ -67,11 +69,35 @@ CASES = [
 def test_candidates_and_offsets_match_python(spark):
     for pattern, f in ((candidates.TAX_ID, "nip"), (candidates.DATE, "date"), (candidates.AMOUNT, "amount"), (candidates.KEYWORD, "keyword")):
         got = column(spark, CASES, lambda c, p=pattern, k=f: candidates.spans(c, p, k))
-        plain = re.compile(pattern.replace("(?iU)", ""), re.I)
+        plain = candidates.AMOUNT_PLAIN if f == "amount" else pattern
+        plain = re.compile(plain.replace("(?iU)", ""), re.I)
         for case, found in zip(CASES, got, strict=True):
             assert [(x["start"], x["text"]) for x in found] == [(m.start(), m.group()) for m in plain.finditer(case)], (f, case)
 
 
+def test_amounts_are_those_of_the_plain_pattern(spark):
+    """The pattern in use skips starts that can't match; both must find the same, also right after another match."""
+    rng = random.Random(1)
+    parts = ["123", "4567", "12", "1", " ", ".", ",", "-", " ", ",50", "  ", "zł", "890", "\n", "$", "\ufdd0"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    plain = re.compile(candidates.AMOUNT_PLAIN.replace("(?iU)", ""), re.I)
+    got = column(spark, cases, lambda c: candidates.spans(c, candidates.AMOUNT, "amount"))
+    for case, found in zip(cases, got, strict=True):
+        assert [(x["start"], x["text"]) for x in found] == [(m.start(), m.group()) for m in plain.finditer(case)], case
+    assert column(spark, cases, candidates.amounts) == [[m.group() for m in plain.finditer(c)] for c in cases]
+
+
+@pytest.mark.parametrize("unit", [" ", "1", "1 ", "- ", "123 ", "1,50 ", "1.234", "NIP "])
+def test_candidates_take_linear_time(spark, unit):
+    long = unit * (100_000 // len(unit))
+    df = spark.createDataFrame([(long,)], "t string")
+    began = time.time()
+    for pattern in (candidates.TAX_ID, candidates.DATE, candidates.AMOUNT):
+        df.select(F.size(candidates.spans(F.col("t"), pattern, "x"))).collect()
+        df.select(F.col("t").rlike(pattern)).collect()
+    assert time.time() - began < 12  # six jobs; the cubic pattern took 49 s for 2000 blanks
+
+
 def spec_windows(hits, low, high, budget):
     out, used, cursor = [], 0, low
     for p in hits:
@@ -124,6 +150,19 @@ def test_validation(spark):
     assert got[4]["error"] == "summary is empty"
 
 
+def test_no_answer_stops_a_run(spark):
+    """Numbers of any length and lone surrogates are answers like any other."""
+    long = '{"doc_type": "invoice", "summary": "s", "gross_amount": ' + "9" * 5000 + "}"
+    lone = json.dumps(ANSWER | {"counterparty_name": "Acme \ud800", "summary": "\udfff!", "\ud801": 1})
+    rows = [(0, long), (1, lone), (2, '{"doc_type": "invoice", "summary": "s", "gross_amount": NaN}'), (3, "[" * 100_000), (4, '{"doc_type": ["\\ud800"]}'), (5, '{"gross_amount": 1' + "0" * 6000)]
+    df = spark.createDataFrame([(i, r, SOURCE) for i, r in rows], "i int, raw string, source string")
+    got = {r["i"]: r for r in validation.validated(df, "raw", "source").collect()}
+    assert got[0]["gross_amount"] is None and not got[0]["needs_repair"]
+    assert got[1]["summary"] == "\ufffd!" and got[1]["nulled_fields"] == ["counterparty_name"]
+    assert [got[i]["needs_repair"] for i in range(2, 6)] == [False, True, True, True]
+    assert text.sound("a\ud83d\ude00b") == "a\U0001f600b"
+
+
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(max_size=5), c, max_size=3)))
 def test_parsing_never_raises(value):
     out, error = validation.parsed(json.dumps(value))
@@ -189,6 +228,16 @@ def test_budget_prefix_is_the_running_sum(spark):
     assert [(r["id"], r["running"]) for r in got] == want
 
 
+def test_budget_prefix_with_more_columns(spark):
+    """Ranges don't depend on which columns a branch of the plan keeps."""
+    rows = spark.range(600_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit(1).alias("cost"), F.col("id").alias("_range"), F.lit("x").alias("_sum")).repartition(7)
+    got = ledger.budget_prefix(rows, "cost", 200_000, 0)
+    place = rows.select("id", F.row_number().over(Window.orderBy("id")).alias("place"))
+    both = got.join(place, "id")
+    assert got.columns == ["id", "cost", "_range", "_sum", "running"] and got.count() == 200_000
+    assert both.where("running <> place").count() == 0
+
+
 def state_of(spark, tmp_path, name):
     return runs.State(spark, f"file://{tmp_path}/{name}")
 
