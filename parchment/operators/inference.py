@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import fixed
+from parchment.functions.text import sound
 
 SYSTEM = (
     "You read one business document and answer with one JSON object with the keys doc_type, counterparty_name, "
@@ -26,14 +27,22 @@ SYSTEM = (
 )
 
 
+HEAD, TAIL = f"<|im_start|>system\n{SYSTEM}<|im_end|>\n<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"
+REPAIR = "<|im_end|>\n<|im_start|>user\nThat answer can't be used: . Answer again, with the JSON object only."
+
+
+def prompt_text(context: str) -> str:
+    return HEAD + context + TAIL
+
+
 def prompt(context: Column) -> Column:
-    return F.concat(F.lit(f"<|im_start|>system\n{SYSTEM}<|im_end|>\n<|im_start|>user\n"), context, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    return F.concat(F.lit(HEAD), context, F.lit(TAIL))
 
 
 def repair_prompt(context: Column, answer: Column, error: Column) -> Column:
     """The first exchange again, then what was wrong with it (cut to 500 characters)."""
-    ask = F.concat(F.lit("<|im_end|>\n<|im_start|>user\nThat answer can't be used: "), F.substring(error, 1, 500))
-    return F.concat(prompt(context), answer, ask, F.lit(". Answer again, with the JSON object only.<|im_end|>\n<|im_start|>assistant\n"))
+    before, after = REPAIR.split(": .")
+    return F.concat(prompt(context), answer, F.lit(f"{before}: "), F.substring(error, 1, 500), F.lit(f".{after}{TAIL}"))
 
 
 @dataclass(frozen=True)
@@ -78,8 +87,10 @@ class Fake:
         return Answer(out, -(-len(text) // 4), -(-len(out) // 4))
 
 
-def _post(url: str, body: dict, seconds: float) -> dict:
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+def _asked(url: str, body: dict | None, seconds: float) -> dict:
+    """The JSON object that a POST of ``body`` returns, or a GET without one."""
+    data = None if body is None else json.dumps(body).encode()
+    request = urllib.request.Request(url, data, {"Content-Type": "application/json"})
     try:
         with urllib.request.urlopen(request, timeout=seconds) as reply:
             out = json.loads(reply.read())
@@ -105,15 +116,43 @@ class Http:
     context: int = 2048
     seconds: float = 600.0
     schema: dict = field(default_factory=dict)
+    digest: str = ""
+
+    @property
+    def base(self) -> str:
+        return f"http://{self.host}:{self.port}"
+
+    def check(self) -> None:
+        """Raise Unavailable unless the backend is up, and, for a pinned digest, has the model with that digest."""
+        try:
+            if self.style == "llama_server":
+                status = _asked(f"{self.base}/health", None, 10).get("status")
+                if status != "ok":
+                    raise Unavailable(f"the backend says {status!r}")
+                return
+            models = {m.get("name"): str(m.get("digest", "")).removeprefix("sha256:") for m in _asked(f"{self.base}/api/tags", None, 10).get("models", [])}
+        except (CallTimeout, CallRefused) as e:
+            raise Unavailable(f"the backend isn't up: {e}") from e
+        if self.model not in models:
+            raise Unavailable(f"the backend has no model {self.model!r}")
+        if self.digest and models[self.model] != self.digest.removeprefix("sha256:"):
+            raise Unavailable(f"{self.model!r} isn't the model with the pinned digest")
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a text as a llama.cpp server counts them."""
+        found = _asked(f"{self.base}/tokenize", {"content": text}, self.seconds).get("tokens")
+        if not isinstance(found, list):
+            raise CallRefused("no tokens in the reply")
+        return len(found)
 
     def complete(self, text: str, max_tokens: int) -> Answer:
-        base = f"http://{self.host}:{self.port}"
+        base = self.base
         if self.style == "llama_server":
-            out = _post(f"{base}/completion", {"prompt": text, "n_predict": max_tokens, "json_schema": self.schema}, self.seconds)
+            out = _asked(f"{base}/completion", {"prompt": text, "n_predict": max_tokens, "json_schema": self.schema}, self.seconds)
             keys = ("content", "tokens_evaluated", "tokens_predicted")
         else:
             body = {"model": self.model, "prompt": text, "stream": False, "format": self.schema, "options": {"num_predict": max_tokens, "num_ctx": self.context}}
-            out, keys = _post(f"{base}/api/generate", body, self.seconds), ("response", "prompt_eval_count", "eval_count")
+            out, keys = _asked(f"{base}/api/generate", body, self.seconds), ("response", "prompt_eval_count", "eval_count")
         if not isinstance(out.get(keys[0]), str):
             raise CallRefused(f"no {keys[0]} in the reply")
         return Answer(out[keys[0]], int(out.get(keys[1]) or 0), int(out.get(keys[2]) or 0))
@@ -134,6 +173,14 @@ class Resilient:
     def open(self) -> bool:
         return self.failures >= self.threshold
 
+    def check(self) -> None:
+        """Ask the backend whether it is up, if it can say so; if it isn't, every later call is refused at once."""
+        try:
+            getattr(self.inner, "check", lambda: None)()
+        except Unavailable:
+            self.failures = self.threshold
+            raise
+
     def complete(self, text: str, max_tokens: int) -> Answer:
         for attempt in range(self.retries + 1):
             if self.open:
@@ -158,24 +205,29 @@ def client_of(backend: str, section: dict) -> Resilient:
     if backend in ("llama_server", "ollama"):
         schema = {"type": "object", "required": ["doc_type", "summary"], "properties": {"doc_type": {"enum": list(fixed.DOC_TYPES)}, "summary": {"type": "string"}}}
         default = 8080 if backend == "llama_server" else 11434
-        return Resilient(Http(backend, section.get("host", "127.0.0.1"), int(section.get("port", default)), section.get("model_tag", ""), int(section.get("context_tokens", 2048)), schema=schema))
+        return Resilient(Http(backend, section.get("host", "127.0.0.1"), int(section.get("port", default)), section.get("model_tag", ""), int(section.get("context_tokens", 2048)), schema=schema, digest=section.get("model_digest", "")))
     raise NotImplementedError(f"unknown backend {backend!r}")
 
 
 def inferred(rows: DataFrame, make: Callable[[], object], max_tokens: int) -> DataFrame:
     """One call for each row of ``(document_id, prompt)``: ``(document_id, raw, tokens_in, tokens_out, error_kind)``.
 
-    The result must be written before it is used: evaluating it again calls the model again.
+    A partition first asks its backend whether it is up. The result must be written before it is used: evaluating it again
+    calls the model again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
+        try:
+            getattr(client, "check", lambda: None)()
+        except CallError:
+            pass  # each call will say so
         for batch in batches:
             out = []
             for text in batch["prompt"]:
                 try:
                     a = client.complete(text, max_tokens)
-                    out.append((a.text, a.tokens_in, a.tokens_out, None))
+                    out.append((sound(a.text), a.tokens_in, a.tokens_out, None))
                 except CallError as e:
                     out.append((None, None, None, e.kind))
             done = pd.DataFrame(out, columns=["raw", "tokens_in", "tokens_out", "error_kind"])

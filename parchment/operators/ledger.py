@@ -65,6 +65,21 @@ def quarantine_by_reason(documents: DataFrame) -> DataFrame:
     return documents.where("quarantine_reason is not null").groupBy("quarantine_reason").agg(F.count("*").alias("n"))
 
 
+def token_totals(ledger: DataFrame) -> DataFrame:
+    """Tokens of all completed calls."""
+    done = ledger.where("completed_at is not null")
+    return done.agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+
+
+def invoice_totals(lines: DataFrame, by: str, quantity: str, price: str, rate: str) -> DataFrame:
+    """``(by, net, vat, gross)``: each line's net and tax rounded half up to cents, then summed; gross is the sum of both."""
+    cents = lambda x: F.round(x, 2).cast("decimal(30,2)")
+    own = lines.select(by, cents(F.col(quantity).cast("decimal(18,2)") * F.col(price).cast("decimal(18,2)")).alias("net"), F.col(rate).cast("decimal(6,2)").alias("rate"))
+    own = own.withColumn("vat", cents(F.col("net").cast("decimal(26,2)") * F.col("rate")))
+    sums = own.groupBy(by).agg(F.sum("net").cast("decimal(32,2)").alias("net"), F.sum("vat").cast("decimal(32,2)").alias("vat"))
+    return sums.withColumn("gross", (F.col("net") + F.col("vat")).cast("decimal(34,2)"))
+
+
 def run_costs(runs: DataFrame, ledger: DataFrame) -> DataFrame:
     """``(id, tokens_in, tokens_out, cost)`` of each run from its completed calls, at the prices frozen with it."""
     done = ledger.where("completed_at is not null").groupBy("run_id").agg(F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
@@ -94,8 +109,7 @@ def report(files: DataFrame, documents: DataFrame, runs: DataFrame, ledger: Data
     reasons = quarantine_by_reason(documents).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("quarantine_reason", "n")))).alias("quarantine_by_reason")
     )
-    done = ledger.where("completed_at is not null")
-    tokens = done.agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+    tokens = token_totals(ledger)
     cost = run_costs(runs, ledger).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("estimated_cost"))
     wall = wall_times(runs, ledger).agg(F.coalesce(F.sum("seconds"), F.lit(0)).cast("double").alias("wall_time_s"))
     one = documents.sparkSession.range(1)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.functions import fixed, text
-from parchment.operators import inference, ledger, windowing
+from parchment.operators import inference, ledger, tokens, windowing
 from parchment.operators.identity import absent
 from parchment.operators.validation import validated
 from parchment.sources import archive
@@ -36,7 +38,10 @@ class State:
         self.spark, self.root = spark, root.rstrip("/")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self.path = hadoop.Path
-        self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(self.root).getFileSystem(conf)
+        self.context = hadoop.FileContext.getFileContext(self.fs.getUri(), conf)
+        self.plainly = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
 
     def read(self, table: str) -> DataFrame:
         at = self.path(f"{self.root}/{table}")
@@ -45,15 +50,24 @@ class State:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*found)
 
-    def append(self, table: str, rows: DataFrame, batch: str) -> DataFrame:
-        """Add a batch under a name of its own; a batch that is there already stays."""
-        final, temp = f"{self.root}/{table}/{batch}", f"{self.root}/_writing/{table}-{batch}"
+    def append(self, table: str, rows: DataFrame, batch: str, taken: bool = True) -> DataFrame:
+        """Add a batch under a name of its own; a batch that is there already stays, or is an error unless it may be ``taken``.
+
+        The rename to the name is refused if another writer has it by then, so of two writers one wins.
+        """
+        final, temp = f"{self.root}/{table}/{batch}", f"{self.root}/_writing/{table}-{batch}-{uuid.uuid4().hex}"
         if not self.fs.exists(self.path(final)):
             names = [x.strip().split()[0] for x in TABLES[table].replace("(20,2)", "").split(", ")]
-            rows.select(*names).write.mode("overwrite").parquet(temp)
+            rows.select(*names).write.parquet(temp)
             self.fs.mkdirs(self.path(f"{self.root}/{table}"))
-            if not self.fs.rename(self.path(temp), self.path(final)):
-                raise OSError(f"can't move {temp}")
+            try:
+                self.context.rename(self.path(temp), self.path(final), self.plainly)
+                taken = True
+            except Py4JJavaError:
+                if not self.fs.exists(self.path(final)):
+                    raise
+        if not taken:
+            raise FileExistsError(final)
         return self.spark.read.schema(TABLES[table]).parquet(final)
 
     def documents(self) -> DataFrame:
@@ -107,21 +121,72 @@ def add_files(state: State, found: DataFrame, root: str, batch: str, seconds: fl
         state.fs.delete(state.path(f"{state.root}/_writing/{name}-{batch}"), True)
 
 
-def run(
-    state: State, input_path: str, config: Config, config_path: str = "", make: Callable[[], object] | None = None, **options: object
-) -> tuple[int, str]:
-    """One run; returns its id and why it stopped. What an earlier run left open is taken up, nothing is called twice.
+def open_run(state: State, config: Config, config_path: str, input_path: str) -> int:
+    """Write the row of a new run; its id is the next that no other run has taken."""
+    price_in, price_out = config.prices
+    run_id = int(state.read("runs_started").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    while True:
+        run_id += 1
+        row = (run_id, datetime.now(UTC), config.workers, config.limit, config.budget, config.backend, config.model, config_path, input_path, price_in, price_out)
+        try:
+            state.append("runs_started", state.spark.createDataFrame([row], TABLES["runs_started"]), f"run-{run_id}", taken=False)
+        except FileExistsError:
+            continue
+        return run_id
+
+
+def judged_outcomes(judged: DataFrame, config: Config) -> DataFrame:
+    """Outcomes of checked answers ``(document_id, run_id, attempt, ...)``: the first attempt's if it can be used, the second's in any case."""
+    final = judged.where(~F.col("needs_repair") | (F.col("attempt") == 2))
+    status = F.when(F.col("needs_repair"), "quarantined").otherwise("done")
+    return final.select("document_id", "run_id", "attempt", status.alias("status"), *fixed.FIELDS, "summary", F.lit(config.backend).alias("backend"), F.lit(config.model).alias("model"), F.current_timestamp().alias("created_at"))
+
+
+def settle(state: State, config: Config, run_id: int) -> None:
+    """Take up answers that an earlier run wrote down but didn't live to use, so that they aren't asked for again."""
+    pending = state.documents().where("status = 'pending'").select(F.col("id").alias("document_id"), "source_text")
+    said = state.read("usages").where("error_kind is null and raw is not null")
+    last = said.groupBy("document_id").agg(F.max_by(F.struct("run_id", "attempt", "raw"), F.struct("run_id", "attempt")).alias("a"))
+    rows = pending.join(last, "document_id").select("document_id", "source_text", "a.*")
+    rows = state_table(state, rows, f"unsettled-{run_id}")
+    if rows.limit(1).count():
+        state.append("outcomes", judged_outcomes(validated(rows, "raw", "source_text"), config), f"settled-{run_id}")
+
+
+def asked_batches(state: State, targets: DataFrame, config: Config, counter: tokens.Counter, run_id: int, n: int) -> tuple[DataFrame, int]:
+    """The prompts of all targets, ``(document_id, source_text, context, prompt, batch)``, and the number of batches. Batches follow
+    the ids and hold ``config.batch`` documents, or more where there would be over a thousand of them."""
+    size = max(config.batch, config.workers, -(-n // 1000))
+    repair = inference.prompt_text("") + inference.REPAIR + inference.TAIL
+    clean = targets.withColumn("_clean", text.context_clean(text.composed(F.col("source_text"))))
+    room = windowing.context_tokens(config.section.get("context_tokens"), counter.of(inference.prompt_text("")), counter.of(repair), config.max_output)
+    sample = F.substring("_clean", 1, fixed.SAMPLE_CHARS)
+    clean = clean.withColumn("_budget", windowing.char_budget(F.lit(room), F.length(sample), counter.column(sample)))
+    asked = windowing.with_context(clean, "_clean", "_budget").withColumn("prompt", inference.prompt(F.col("context")))
+    asked = state_table(state, asked.select("document_id", "source_text", "context", "prompt"), f"prompts-{run_id}")
+    place = ledger.running_sum(asked.select("document_id", F.lit(1).alias("one")), "one", "document_id")
+    place = place.select("document_id", F.floor((F.col("running") - 1) / size).cast("int").alias("batch"))
+    return state_table(state, asked.join(place, "document_id"), f"asked-{run_id}", "batch"), -(-n // size)
 
-    Documents are taken in the order of their ids. Reservations are written before calls, answers before they are used.
-    Calls that fail for the backend's sake leave their document pending.
+
+def run(
+    state: State, input_path: str, config: Config, config_path: str = "", make: Callable[[], object] | None = None,
+    counter: tokens.Source = None, **options: object,
+) -> tuple[int, str]:
+    """One run; returns its id and why it stopped. What an earlier run left open is taken up.
+
+    Documents are taken in the order of their ids, batch by batch. Of each batch the reservations are written before the calls,
+    the answers before they are used, and the outcomes before the next batch is begun. So a run that is killed loses the
+    answers of one batch at most; only those are asked for again. Calls that fail for the backend's sake leave their document
+    pending; a batch in which calls were refused, or none was answered, ends the run. ``counter`` counts tokens (the
+    configuration's tokenizer, or else the estimate of four characters a token).
     """
     spark = state.spark
     take_inventory(state, input_path, partitions=config.workers * 2, **options)
-    run_id = int(state.read("runs_started").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
-    price_in, price_out = config.prices
-    started = [(run_id, datetime.now(UTC), config.workers, config.limit, config.budget, config.backend, config.model, config_path, input_path, price_in, price_out)]
-    state.append("runs_started", spark.createDataFrame(started, TABLES["runs_started"]), f"run-{run_id}")
+    run_id = open_run(state, config, config_path, input_path)
+    counter = tokens.Counter(spark, counter or config.tokenizer)
     make = make or (lambda b=config.backend, s=config.section: inference.client_of(b, s))
+    settle(state, config, run_id)
     documents = state.documents()
     attempted = documents.where("status = 'done' or quarantine_reason = 'llm_invalid_output'").count()
     pending = documents.where("status = 'pending'").select(F.col("id").alias("document_id"), "source_text")
@@ -129,40 +194,49 @@ def run(
     targets = ledger.limited(pending, config.limit, attempted, "document_id")
     reserved = int(state.read("reservations").agg(F.coalesce(F.sum("reserved_tokens"), F.lit(0))).first()[0])
     n_targets = n_pending if config.limit is None else min(n_pending, max(config.limit - attempted, 0))
-    clean = targets.withColumn("_clean", text.context_clean(text.composed(F.col("source_text"))))
-    room = windowing.context_tokens(config.section.get("context_tokens"), len(inference.SYSTEM) // 4, len(inference.SYSTEM) // 4 + 60, config.max_output)
-    sample = F.substring("_clean", 1, fixed.SAMPLE_CHARS)
-    clean = clean.withColumn("_budget", windowing.char_budget(F.lit(room), F.length(sample), windowing.estimated_tokens(sample)))
-    asked = windowing.with_context(clean, "_clean", "_budget").withColumn("prompt", inference.prompt(F.col("context"))).drop("_clean", "_budget", "windows")
-    stop = "limit_reached" if n_targets < n_pending else "completed"
-    for attempt in (1, 2):
-        wanted = asked.withColumn("reserved_tokens", windowing.estimated_tokens(F.col("prompt")) + config.max_output)
-        wanted = state_table(state, wanted, f"asked-{run_id}-{attempt}")
-        allowed = ledger.budget_prefix(wanted.select("document_id", "reserved_tokens"), "reserved_tokens", config.budget, reserved, "document_id").drop("running")
-        kept = state.append("reservations", allowed.select(F.lit(run_id).alias("run_id"), "document_id", F.lit(attempt).alias("attempt"), F.current_timestamp().alias("reserved_at"), "reserved_tokens"), f"run-{run_id}-{attempt}")
-        if kept.count() < wanted.count():
-            stop = "budget_exhausted"
-        reserved += int(kept.agg(F.coalesce(F.sum("reserved_tokens"), F.lit(0))).first()[0])
-        calls = wanted.join(kept.select("document_id"), "document_id").repartition(config.workers, "document_id")
-        answers = inference.inferred(calls, make, config.max_output)
-        usage = answers.select(F.lit(run_id).alias("run_id"), "document_id", F.lit(attempt).alias("attempt"), "tokens_in", "tokens_out", F.when(F.col("error_kind").isNull(), F.current_timestamp()).alias("completed_at"), "raw", "error_kind")
-        used = state.append("usages", usage, f"run-{run_id}-{attempt}")
-        if used.where("error_kind is not null").limit(1).count():
-            stop = "backend_unavailable"
-        answered = used.where("error_kind is null").select("document_id", "raw").join(wanted.select("document_id", "source_text", "context"), "document_id")
-        judged = validated(answered, "raw", "source_text")
-        final = judged if attempt == 2 else judged.where(~F.col("needs_repair"))
-        status = F.when(F.col("needs_repair"), "quarantined").otherwise("done")
-        outcome = final.select("document_id", F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"), status.alias("status"), *fixed.FIELDS, "summary", F.lit(config.backend).alias("backend"), F.lit(config.model).alias("model"), F.current_timestamp().alias("created_at"))
-        state.append("outcomes", outcome, f"run-{run_id}-{attempt}")
-        asked = judged.where("needs_repair").select("document_id", "source_text", "context", inference.repair_prompt(F.col("context"), F.coalesce("raw", F.lit("")), F.coalesce("error", F.lit(""))).alias("prompt"))
+    stop, failed = ("limit_reached" if n_targets < n_pending else "completed"), False
+    every, n_batches = asked_batches(state, targets, config, counter, run_id, n_targets)
+    for number in range(n_batches):
+        asked, ended = every.where(F.col("batch") == number).drop("batch"), None
+        for attempt in (1, 2):
+            key, own = f"run-{run_id}-{number:06d}-{attempt}", [F.lit(run_id).cast("long").alias("run_id"), "document_id", F.lit(attempt).alias("attempt")]
+            wanted = state_table(state, asked.withColumn("reserved_tokens", counter.column(F.col("prompt")) + config.max_output), f"wanted-{key}")
+            n_wanted = wanted.count()
+            if not n_wanted:
+                break
+            allowed = ledger.budget_prefix(wanted.select("document_id", "reserved_tokens"), "reserved_tokens", config.budget, reserved, "document_id").drop("running")
+            kept = state.append("reservations", allowed.select(*own, F.current_timestamp().alias("reserved_at"), "reserved_tokens"), key)
+            n_kept, cost = kept.agg(F.count("*"), F.coalesce(F.sum("reserved_tokens"), F.lit(0))).first()
+            reserved += int(cost)
+            if n_kept < n_wanted:
+                ended = "budget_exhausted"
+            if not n_kept:
+                break
+            calls = wanted.join(kept.select("document_id"), "document_id").repartition(config.workers, "document_id")
+            answers = inference.inferred(calls, make, config.max_output)
+            used = state.append("usages", answers.select(*own, "tokens_in", "tokens_out", F.when(F.col("error_kind").isNull(), F.current_timestamp()).alias("completed_at"), "raw", "error_kind"), key)
+            n_failed, refused = used.agg(F.count("error_kind"), F.count_if(F.col("error_kind") == "unavailable")).first()
+            failed = failed or bool(n_failed)
+            answered = used.where("error_kind is null").select("run_id", "attempt", "document_id", "raw").join(wanted.select("document_id", "source_text", "context"), "document_id")
+            judged = state_table(state, validated(answered, "raw", "source_text"), f"judged-{key}")
+            state.append("outcomes", judged_outcomes(judged, config), key)
+            if refused or n_failed == n_kept:
+                ended = "backend_unavailable"
+                break
+            asked = judged.where("needs_repair").select("document_id", "source_text", "context", inference.repair_prompt(F.col("context"), F.coalesce("raw", F.lit("")), F.coalesce("error", F.lit(""))).alias("prompt"))
+        if ended:
+            stop = ended
+            break
+    else:
+        stop = "backend_unavailable" if failed else stop
     state.append("runs_finished", spark.createDataFrame([(run_id, datetime.now(UTC), stop)], TABLES["runs_finished"]), f"run-{run_id}")
     state.fs.delete(state.path(f"{state.root}/_writing"), True)
     return run_id, stop
 
 
-def state_table(state: State, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written under the state folder, so that they are computed once."""
+def state_table(state: State, rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``rows`` written under the state folder, so that they are computed once; in a folder for each value of ``by``."""
     path = f"{state.root}/_writing/{name}"
-    rows.write.mode("overwrite").parquet(path)
+    dealt = rows.repartition(by).write.partitionBy(by) if by else rows.write
+    dealt.mode("overwrite").parquet(path)
     return state.spark.read.schema(rows.schema).parquet(path)

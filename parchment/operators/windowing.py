@@ -9,7 +9,7 @@ from parchment.functions import candidates, fixed
 
 
 def estimated_tokens(text: Column) -> Column:
-    """Four characters a token: the estimate that needs no tokenizer."""
+    """Four characters a token: the estimate that needs no tokenizer (see ``tokens`` for counts)."""
     return F.ceil(F.length(text) / 4).cast("long")
 
 

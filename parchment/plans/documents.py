@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from parchment.catalog import query
 from parchment.functions import candidates, fixed, text
-from parchment.operators import evaluation, identity, inference, ledger, validation, windowing
+from parchment.operators import evaluation, identity, inference, ledger, tokens, validation, windowing
 from parchment.sources import extract, formats
 
+#: The tokenizer of queries that count tokens.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: SQL for what several queries share.
 NORMAL = r"""replace(lower(trim(regexp_replace(array_to_string(list_filter(
     string_split_regex(nfc_normalize(text), '\r\n|[\n\r\x0b\x0c\x1c-\x1e]'),
@@ -54,6 +56,16 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.groups(docs, text.sha(text.normalized(F.col("text"))), "doc_id")
 
 
+@query(
+    f"""SELECT doc_id, identity, min(doc_id) OVER (PARTITION BY identity) AS representative, CAST(count(*) OVER (PARTITION BY identity) AS BIGINT) AS copies
+    FROM (SELECT doc_id, sha256({NORMAL}) AS identity FROM documents WHERE text IS NOT NULL)"""
+)
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents say the same, and which of them stands for the rest."""
+    docs = texts(spark, sf_dir)
+    return identity.members(docs, text.sha(text.normalized(F.col("text"))), "doc_id").select("doc_id", "identity", "representative", "copies")
+
+
 @query(
     f"""SELECT CAST(count(*) AS BIGINT) AS input_files, CAST(count(DISTINCT {NORMAL}) AS BIGINT) AS unique_documents,
     CAST(count(*) - count(DISTINCT {NORMAL}) AS BIGINT) AS duplicate_files FROM documents WHERE text IS NOT NULL"""
@@ -169,6 +181,13 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROMPT_CHARS = len(f"<|im_start|>system\n{inference.SYSTEM}<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n")
 
 
+@query()
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by a tokenizer's file; SQL has no BPE, so tests hold it against the tokenizer itself."""
+    counter = tokens.Counter(spark, TOKENIZER)
+    return texts(spark, sf_dir).select("doc_id", counter.column(F.col("text")).alias("tokens"))
+
+
 @query(f"SELECT conv_id, turn, CAST(ceil((length(text) + {_PROMPT_CHARS}) / 4.0) + 300 AS BIGINT) AS reserved_tokens FROM conversations WHERE text IS NOT NULL")
 def prompt_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("text is not null")

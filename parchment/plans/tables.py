@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.catalog import query
 from parchment.functions import fixed, text
-from parchment.operators import identity, ledger
+from parchment.operators import identity, inventory, ledger
 from parchment.plans.documents import table
 
 
@@ -134,3 +134,49 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "events").select(F.col("user_id").alias("o_orderkey"))
     return identity.absent(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), known, "o_orderkey")
+
+
+_NET = "CAST(CAST(round(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)), 2) AS DECIMAL(30,2)) AS DECIMAL(30,2))"
+_RATE = "CAST(l_tax AS DECIMAL(6,2))"
+
+
+@query(
+    f"""SELECT l_orderkey, CAST(sum(net) AS VARCHAR) AS net, CAST(sum(vat) AS VARCHAR) AS vat, CAST(sum(net) + sum(vat) AS VARCHAR) AS gross FROM
+    (SELECT l_orderkey, net, CAST(round(net * rate, 2) AS DECIMAL(30,2)) AS vat FROM (SELECT l_orderkey, {_NET} AS net, {_RATE} AS rate FROM lineitem)) GROUP BY 1"""
+)
+def invoice_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net, tax and gross of each order as of an invoice: rounded half up line by line, then added up."""
+    return ledger.invoice_totals(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_extendedprice", "l_tax").select(
+        "l_orderkey", *[F.col(c).cast("string").alias(c) for c in ("net", "vat", "gross")]
+    )
+
+
+_FILES = """SELECT 'a/' || o_orderkey AS path, CAST(o_custkey AS VARCHAR) AS document_id FROM orders"""
+_CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS status FROM customer WHERE c_custkey % 10 <> 0"""
+
+
+def _files_and_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as files of customers, of whom every tenth is missing."""
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("a/"), "o_orderkey").alias("path"), F.col("o_custkey").cast("string").alias("document_id"))
+    docs = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("status"))
+    return files, docs
+
+
+@query(f"SELECT path, document_id, status FROM ({_FILES}) f JOIN ({_CUSTOMERS}) d ON f.document_id = d.id")
+def files_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.files_with_documents(*_files_and_documents(spark, sf_dir)).select("path", "document_id", "status")
+
+
+@query(f"SELECT path, document_id FROM ({_FILES}) WHERE document_id NOT IN (SELECT id FROM ({_CUSTOMERS}))")
+def files_without_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.files_without_document(*_files_and_documents(spark, sf_dir)).select("path", "document_id")
+
+
+@query(f"SELECT id, status FROM ({_CUSTOMERS}) WHERE id NOT IN (SELECT document_id FROM ({_FILES}))")
+def documents_without_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.documents_without_file(*_files_and_documents(spark, sf_dir)).select("id", "status")
+
+
+@query(f"SELECT CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS tokens_out FROM ({_LEDGER}) WHERE completed_at IS NOT NULL")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.token_totals(_ledger(spark, sf_dir))

@@ -12,6 +12,7 @@ import unicodedata
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from parchment.functions import fixed
-from parchment.sources.extract import isolated
+from parchment.sources.extract import Isolated
 from parchment.sources.formats import detect
 
 #: ``place`` is the name as the archive has it, and ``oversized`` marks what was not read to its end.
 ENTRIES = "path string, place string, format string, byte_sha256 string, size_bytes long, oversized boolean"
+#: What stands for the middle of a long text.
+GAP = b"\n[...]\n"
 TEXTS = "byte_sha256 string, text_sha256 string, source_text string, content_source string, reason string"
 
 
@@ -108,32 +111,45 @@ def entries(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return spark.read.format("archive").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
-def texts(found: DataFrame, root: str, seconds: float = fixed.EXTRACT_SECONDS, partitions: int = 8) -> DataFrame:
+def read(f: BinaryIO, kind: str, size: int, tail: bool) -> bytes:
+    """A file's bytes; of a text over TEXT_CAP its first bytes, or with ``tail`` half as many and as many of its end, between
+    which a line of dots stands for what isn't read."""
+    if kind not in ("txt", "html"):
+        return f.read()
+    if not tail or size <= fixed.TEXT_CAP:
+        return f.read(fixed.TEXT_CAP)
+    head = f.read(fixed.TEXT_CAP // 2)
+    f.seek(size - fixed.TEXT_CAP // 2 + len(GAP))
+    return head + GAP + f.read()
+
+
+def texts(found: DataFrame, root: str, seconds: float = fixed.EXTRACT_SECONDS, partitions: int = 8, tail: bool = False) -> DataFrame:
     """Text, and the hash of its normal form, of each distinct content in ``found``, read at the first path that has it.
 
-    Of text formats only the first bytes are read. A file that is gone by now is a corrupt one.
+    Of text formats only the first bytes are read, or with ``tail`` the first and the last. A file that is gone by now is a
+    corrupt one.
     """
-    first = found.where(~F.col("oversized")).groupBy("byte_sha256").agg(F.min_by(F.struct("place", "format"), "path").alias("f"))
+    first = found.where(~F.col("oversized")).groupBy("byte_sha256").agg(F.min_by(F.struct("place", "format", "size_bytes"), "path").alias("f"))
     dealt = first.select("byte_sha256", "f.*").repartition(partitions, "byte_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                kind, data = row["format"], b""
-                room = fixed.TEXT_CAP if kind in ("txt", "html") else -1
-                try:
-                    if kind != "unknown":
-                        opened = opened or Opened(root)
-                        with opened(row["place"]) as f:
-                            data = f.read(room)
-                    got = isolated(kind, data, seconds)
-                except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                    got = {"source_text": None, "normal": None, "content_source": "own", "reason": "corrupt_file"}
-                sha = hashlib.sha256(got["normal"].encode()).hexdigest() if got["normal"] else None
-                own = {"byte_sha256": row["byte_sha256"], "text_sha256": sha}
-                own |= {k: got[k] for k in ("source_text", "content_source", "reason")}
-                yield pa.RecordBatch.from_pylist([own], schema)
+        with Isolated() as isolated:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    kind, data = row["format"], b""
+                    try:
+                        if kind != "unknown":
+                            opened = opened or Opened(root)
+                            with opened(row["place"]) as f:
+                                data = read(f, kind, row["size_bytes"], tail)
+                        got = isolated(kind, data, seconds)
+                    except (OSError, zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                        got = {"source_text": None, "normal": None, "content_source": "own", "reason": "corrupt_file"}
+                    sha = hashlib.sha256(got["normal"].encode()).hexdigest() if got["normal"] else None
+                    own = {"byte_sha256": row["byte_sha256"], "text_sha256": sha}
+                    own |= {k: got[k] for k in ("source_text", "content_source", "reason")}
+                    yield pa.RecordBatch.from_pylist([own], schema)
 
     schema = pa.schema([(name, pa.string()) for name in (x.split()[0] for x in TEXTS.split(", "))])
     return dealt.mapInArrow(run, TEXTS)

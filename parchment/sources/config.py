@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -18,6 +19,8 @@ class Config:
     budget: int | None = None
     max_output: int = 300
     backend: str = "fake"
+    batch: int = 256
+    tokenizer: str | None = None
     raw: dict = field(default_factory=dict)
 
     @property
@@ -42,10 +45,22 @@ def load(path: str | None) -> Config:
     return Config(
         workers=int(run.get("workers", 4)), limit=run.get("limit_docs", run.get("limit")) or None,
         budget=run.get("budget_tokens", run.get("budget")) or None, max_output=int(run.get("max_output_tokens", 300)),
-        backend=backend.get("name", "fake"), raw=raw,
+        backend=backend.get("name", "fake"), batch=int(run.get("batch_docs", 256)), tokenizer=run.get("tokenizer"), raw=raw,
     )
 
 
+def write_golden(rows: DataFrame, path: str) -> int:
+    """Write golden records as JSON lines with sorted keys, in the order of their first file; returns how many. They are few: each
+    is written by hand or by a fixture, and all go to one file, so they come to the driver."""
+    out = [r.asDict(recursive=True) for r in rows.collect()]
+    for r in out:
+        r["files"] = sorted(r["files"] or [])
+    out.sort(key=lambda r: r["files"][:1])
+    text = "".join(json.dumps(r, ensure_ascii=False, sort_keys=True, default=str) + "\n" for r in out)
+    Path(path).write_text(text, "utf-8")
+    return len(out)
+
+
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Expected records, a JSON object a line; blank lines are skipped."""
     return spark.read.schema(GOLDEN).json(path).where("files is not null")

@@ -1,3 +1,4 @@
+import io
 import json
 import random
 import re
@@ -179,9 +180,25 @@ def test_formats_and_extraction():
     assert extract.outcome("eml", mail)["source_text"].strip() == "hello"
 
 
-def test_isolated_extraction_is_stopped(monkeypatch):
-    monkeypatch.setattr(extract, "outcome", lambda kind, data: __import__("time").sleep(30))
-    assert extract.isolated("txt", b"x", 0.3)["reason"] == "parse_timeout"
+def test_isolated_extraction_is_stopped_and_goes_on():
+    with extract.Isolated() as isolated:
+        assert isolated("txt", b"hello")["source_text"] == "hello"
+        first = isolated.process.pid
+        assert isolated("html", b"<p>a")["source_text"] == "a" and isolated.process.pid == first
+        assert isolated("txt", b"x" * 2_000_000, 1e-6)["reason"] == "parse_timeout"
+        assert isolated("txt", b"again")["source_text"] == "again" and isolated.process.pid != first
+        isolated.process.kill()
+        assert isolated("txt", b"x")["reason"] in (None, "corrupt_file")
+        assert isolated("txt", b"once more")["source_text"] == "once more"
+
+
+def test_long_texts_are_read_at_both_ends(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixed, "TEXT_CAP", 200)
+    (tmp_path / "big.txt").write_text("head " + "x" * 5000 + " tail")
+    data = (tmp_path / "big.txt").read_bytes()
+    whole = lambda tail: archive.read(io.BytesIO(data), "txt", len(data), tail)
+    assert whole(False) == data[:200]
+    assert whole(True).startswith(b"head ") and whole(True).endswith(b" tail") and len(whole(True)) == 200 and archive.GAP in whole(True)
 
 
 def corpus(root):
