@@ -1,17 +1,18 @@
 """Substring dedup with repeated-phrase automata.
 
-A window is 13 consecutive words. Every window is represented by its minimiser, the word k-gram in it with the least
-hash; equal windows have equal minimisers. So:
+A window is 13 consecutive words. Of texts that are equal as a whole only the one with the least id is looked at: the windows of
+the others all start in it. Every window is represented by its minimiser, the word k-gram in it with the least hash; equal
+windows have equal minimisers. So:
 
 1. count minimisers over the corpus (partial aggregates) and keep those of two documents or more;
-2. cut, around each kept minimiser, the passage of at most 21 words that its windows span;
-3. collapse equal passages, deal them by minimiser, confirm on the words themselves which windows recur in several
-   documents, compile an Aho-Corasick automaton for each shard of confirmed windows, and stream the
-   passages through it to locate every occurrence;
-4. bring the first document of each located window back to all passages that equal the streamed one.
-
-What is shuffled besides the texts is about a fifth of a row per word. A minimiser that a great many passages
-share is dealt by whole windows instead, so neither a very frequent phrase nor a large group of copies meets in one task.
+2. cut every document, around its kept minimisers, into passages of at most 21 words, which hold all windows that may recur;
+3. collapse equal passages, deal them by minimiser, and confirm on the words themselves which windows recur, and where first;
+4. compile the confirmed windows into Aho-Corasick automata, a shard of minimisers each, and stream the passages of all
+   documents through the automaton of their shard, which locates every occurrence. Documents travel as these passages because a
+   whole text would have to go to nearly every shard.
+
+A minimiser with more than CROWD occurrences is dealt by whole windows, and the passages of such windows are dealt over SALTS
+tasks with a copy of the window each, so neither a very frequent phrase nor a large group of near copies meets in one task.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.store import fresh, written
+from parchment.llm.store import dropped, fresh, written
 from parchment.llm.text import buffers, mix, pieces, whitespace_classes, words
 
 WINDOW = 13
 GRAM = 5
-#: Occurrences from which a minimiser's windows are dealt one by one.
-CROWD = 20_000
-#: Passages in an automaton's shard, at least; a minimiser's passages stay in one shard.
-SHARD = 256
+#: Occurrences from which a minimiser's windows are dealt one by one, and tasks that share the occurrences of such a window.
+CROWD, SALTS = 1024, 32
+#: Distinct passages that are confirmed at once, at least, and passages with confirmed windows in the automaton of a shard.
+CONFIRMED, SHARD = 256, 1024
 
 CLASSES = whitespace_classes()
 
@@ -76,11 +77,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(bucket, key, id, sig, at, text)``: passages around the minimisers that two documents or more have."""
-    keyed = _keyed(docs, id_col, text_col)
-    able = keyed.where("id is not null and text is not null")
-    kind = docs.schema[id_col].dataType.simpleString()
+def split_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(id, sig, text)`` of the rows that have the least id of their whole text, and ``(id, sig)`` of all others. Rows with a null id
+    or text are in neither. That is asked by id and text, never by text alone, so copies of one text don't meet."""
+    keyed = _keyed(docs, id_col, text_col).where("id is not null and text is not null").withColumn("sha", F.unhex(F.sha2("text", 256)))
+    first = keyed.groupBy("sha").agg(F.min("id").alias("id"))
+    copies = keyed.select("id", "sig", "sha").join(first, ["sha", "id"], "left_anti").select("id", "sig").distinct()
+    return keyed.join(first, ["sha", "id"], "left_semi").select("id", "sig", "text"), copies
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """``(bucket, crowd, id, sig, at, text)``: passages of ``texts(id, sig, text)`` around the minimisers that two documents or more have."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +107,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 )
 
     recurring = (
-        able.select("id", "text")
+        texts.select("id", "text")
         .mapInArrow(anchors, f"anchor long, id {kind}")
         .groupBy("anchor")
         .agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n"))
@@ -107,7 +115,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("anchor", (F.col("n") > CROWD).alias("crowd"))
     )
     recurring = written(recurring, "anchors")
-    kept = able.mapInArrow(places, f"anchor long, id {kind}, packed long").join(recurring, "anchor")
+    kept = texts.mapInArrow(places, f"anchor long, id {kind}, packed long").join(recurring, "anchor")
     per_doc = (
         kept.select("id", F.shiftright("packed", 32).cast("int").alias("sig"), F.struct("anchor", "packed", "crowd").alias("p"))
         .groupBy("id", "sig")
@@ -127,9 +135,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     for a, p, many in zip(anchor, (packed & 0xFFFFFFFF).tolist(), crowd, strict=True):
                         i, n = p >> 4, p & 15
                         if many:
-                            for t in range(i, i + n):
-                                text = b" ".join(toks[t : t + WINDOW])
-                                out.append((None, k, t, text))
+                            out += [(None, k, t, b" ".join(toks[t : t + WINDOW])) for t in range(i, i + n)]
                         else:
                             out.append((a, k, i, b" ".join(toks[i : i + n + WINDOW - 1])))
                 if out:
@@ -141,62 +147,68 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         names=["bucket", "id", "sig", "at", "text"],
                     )
 
-    texts = able.join(per_doc, ["id", "sig"]).select("id", "sig", "text", "p")
-    found = texts.mapInArrow(cut, f"bucket long, id {kind}, sig int, at int, text string")
-    key = F.xxhash64("text")
-    return found.select(F.coalesce("bucket", key).alias("bucket"), key.alias("key"), "id", "sig", "at", "text")
+    found = texts.join(per_doc, ["id", "sig"]).select("id", "sig", "text", "p")
+    found = found.mapInArrow(cut, f"bucket long, id {kind}, sig int, at int, text string")
+    return found.select(F.coalesce("bucket", F.xxhash64("text")).alias("bucket"), F.col("bucket").isNull().alias("crowd"), "id", "sig", "at", "text")
 
 
-def locate(rows: Iterable[tuple[bytes, object, object]]) -> Iterator[list]:
-    """For each passage of a shard (text, least and greatest document): the first document of each of its windows,
-    None where no second document has it.
+class Letters:
+    """Words as single characters, so that an automaton has a node a word; each shard has an alphabet of its own."""
 
-    Words become single characters, so that the automaton has a node a word; a shard has its own alphabet.
-    """
-    letters: dict[bytes, str] = {}
-    coded = []
-    first: dict[str, tuple] = {}
-    for text, least, most in rows:
+    OTHER = "\U0010ffff"
+
+    def __init__(self) -> None:
+        self.of: dict[bytes, str] = {}
+
+    def learn(self, text: bytes) -> str:
         # from U+10000 on, so no surrogate is made
-        s = "".join([letters.setdefault(w, chr(0x10000 + len(letters))) for w in text.split(b" ")])
+        of = self.of
+        return "".join([of.setdefault(w, chr(0x10000 + len(of))) for w in text.split(b" ")])
+
+    def spell(self, text: bytes) -> str:
+        """The same for words that may not have been learnt."""
+        get, other = self.of.get, self.OTHER
+        return "".join([get(w, other) for w in text.split(b" ")])
+
+
+def confirmed(rows: Iterable[tuple[bytes, object, object]]) -> Iterator[list]:
+    """For each distinct passage (text, least and greatest document): the first document of each of its windows that recurs; None
+    for the others, and for those that an earlier passage named."""
+    letters, seen, coded = Letters(), {}, []
+    for text, least, most in rows:
+        s = letters.learn(text)
         coded.append(s)
         for t in range(len(s) - WINDOW + 1):
             w = s[t : t + WINDOW]
-            old = first.get(w)
-            first[w] = (least, most) if old is None else (min(old[0], least), max(old[1], most))
-    machine = ahocorasick.Automaton()
-    for w, (least, most) in first.items():
-        if least < most:
-            machine.add_word(w, least)
-    if not len(machine):
-        yield from ([None] * max(0, len(s) - WINDOW + 1) for s in coded)
-        return
-    machine.make_automaton()
+            old = seen.get(w)
+            seen[w] = (least, most) if old is None else (min(old[0], least), max(old[1], most))
     for s in coded:
-        out = [None] * max(0, len(s) - WINDOW + 1)
-        for end, doc in machine.iter(s):
-            out[end - WINDOW + 1] = doc
+        out = []
+        for t in range(len(s) - WINDOW + 1):
+            least, most = seen.pop(s[t : t + WINDOW], (None, None))
+            out.append(None if least == most else least)
         yield out
 
 
-def located(found: DataFrame) -> DataFrame:
-    """``(bucket, key, firsts)`` of the passages that hold a confirmed window."""
+def phrases(found: DataFrame) -> DataFrame:
+    """``(bucket, crowd, text, firsts)``: passages with windows that recur in documents with different ids."""
     kind = found.schema["id"].dataType.simpleString()
-    distinct = found.groupBy("bucket", "key", "text").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    dealt = distinct.repartition("bucket").sortWithinPartitions("bucket")
+    distinct = found.groupBy("bucket", "crowd", "text").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    dealt = distinct.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "crowd", "text", "least", "most")
 
     def shard(rows: list[tuple]) -> pa.RecordBatch | None:
-        hits = [(r[0], r[1], x) for r, x in zip(rows, locate((r[2].encode(), r[3], r[4]) for r in rows), strict=True) if any(y is not None for y in x)]
+        firsts = confirmed((r[2].encode(), r[3], r[4]) for r in rows)
+        hits = [(*r[:3], x) for r, x in zip(rows, firsts, strict=True) if any(y is not None for y in x)]
         if not hits:
             return None
-        a, b, c = zip(*hits, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["bucket", "key", "firsts"])
+        a, b, c, d = zip(*hits, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d)], names=["bucket", "crowd", "text", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(rows) >= SHARD and row[0] != rows[-1][0]:
+                if len(rows) >= CONFIRMED and row[0] != rows[-1][0]:
                     if out := shard(rows):
                         yield out
                     rows = []
@@ -204,25 +216,74 @@ def located(found: DataFrame) -> DataFrame:
         if rows and (out := shard(rows)):
             yield out
 
-    return dealt.mapInArrow(run, f"bucket long, key long, firsts array<{kind}>")
+    return dealt.mapInArrow(run, f"bucket long, crowd boolean, text string, firsts array<{kind}>")
+
+
+def located(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``(id, sig, starts)`` of each passage in which the automaton of its shard finds windows that a smaller id has, too."""
+    kind = found.schema["id"].dataType.simpleString()
+    shards = F.lit(max(1, known.count() // SHARD))
+    shard = F.pmod(F.xxhash64("bucket"), shards).alias("shard")
+    salts = F.when(F.col("crowd"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("crowd"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
+    blank = lambda name, t: F.lit(None).cast(t).alias(name)
+    of_automata = known.select(shard, F.explode(salts).alias("salt"), "text", "firsts", blank("id", kind), blank("sig", "int"), blank("at", "int"))
+    of_texts = found.select(shard, salt, "text", blank("firsts", f"array<{kind}>"), "id", "sig", "at")
+    names = ["shard", "salt", "firsts", "text", "id", "sig", "at"]
+    both = of_automata.select(names).unionByName(of_texts.select(names))
+    # the windows of a shard come before the passages that are streamed through its automaton
+    dealt = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("id").isNotNull()).select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, letters, machine, ready = None, Letters(), ahocorasick.Automaton(), False
+        for batch in batches:
+            place, sig, starts = [], [], []
+            ids, sigs = batch.column("id"), batch.column("sig").to_pylist()
+            keys = zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), strict=True)
+            rows = zip(keys, ids.to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("at").to_pylist(), strict=True)
+            for k, (key, doc, text, firsts, at) in enumerate(rows):
+                if key != own:
+                    own, letters, machine, ready = key, Letters(), ahocorasick.Automaton(), False
+                if doc is None:
+                    s = letters.learn(text.encode())
+                    for t, first in enumerate(firsts):
+                        if first is not None:
+                            machine.add_word(s[t : t + WINDOW], first)
+                    continue
+                if not ready:
+                    machine.make_automaton()
+                    ready = True
+                if not len(machine):
+                    continue
+                hits = [at + end - WINDOW + 1 for end, first in machine.iter(letters.spell(text.encode())) if first < doc]
+                if hits:
+                    place.append(k)
+                    sig.append(sigs[k])
+                    starts.append(hits)
+            if place:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), pa.array(sig, pa.int32()), pa.array(starts, pa.list_(pa.int32()))], names=["id", "sig", "starts"])
+
+    return dealt.mapInArrow(run, f"id {kind}, sig int, starts array<int>")
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, sig, starts)``: for each row that has any, the word places where a window starts whose words also start
-    in a document with a smaller id."""
-    found = written(passages(docs, id_col, text_col), "passages")
-    firsts = written(located(found), "located")
-    hits = found.select("bucket", "key", "id", "sig", "at").join(firsts, ["bucket", "key"])
-    own = F.filter(
-        F.transform("firsts", lambda first, t: F.when(first < F.col("id"), F.col("at") + t)), lambda x: x.isNotNull()
-    )
-    hits = hits.select("id", "sig", own.alias("starts")).where("size(starts) > 0")
-    return hits.groupBy("id", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    in a document with a smaller id; null for a row whose whole text a smaller id has, which loses every window."""
+    texts, copies = split_copies(docs, id_col, text_col)
+    texts = written(texts, "contents")
+    found = written(passages(texts), "passages")
+    known = written(phrases(found), "phrases")
+    starts = located(found, known).groupBy("id", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    out = written(starts.unionByName(copies.select("id", "sig", F.lit(None).cast("array<int>").alias("starts"))), "starts")
+    dropped(texts, found, known)
+    return out
 
 
-def kept_words(text: bytes, starts: np.ndarray) -> tuple[int, list[bytes]]:
-    """Number of words, and those not covered by a window that starts at one of ``starts``."""
+def kept_words(text: bytes, starts: np.ndarray | None) -> tuple[int, list[bytes]]:
+    """Number of words, and those not covered by a window that starts at one of ``starts``; None: at every place."""
     toks = text.split()
+    if starts is None:
+        return len(toks), [] if len(toks) >= WINDOW else toks
     if not len(starts):
         return len(toks), toks
     step = np.zeros(len(toks) + WINDOW + 1, np.int32)
@@ -232,6 +293,12 @@ def kept_words(text: bytes, starts: np.ndarray) -> tuple[int, list[bytes]]:
     return len(toks), [toks[k] for k in np.flatnonzero(~covered)]
 
 
+def _own_starts(marked: pa.Scalar, starts: pa.Scalar) -> np.ndarray | None:
+    if not marked.as_py():
+        return np.zeros(0, np.int64)
+    return starts.values.to_numpy() if starts.is_valid else None
+
+
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False
 ) -> DataFrame:
@@ -251,9 +318,8 @@ def without_repeats(
         for batch in batches:
             for part in pieces(batch, "text"):
                 n_words, n_kept, shas, kepts = [], [], [], []
-                for text, own in zip(part.column("text"), part.column("starts"), strict=True):
-                    place = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int64)
-                    n, kept = kept_words(text.as_buffer().to_pybytes() if text.is_valid else b"", place)
+                for text, marked, own in zip(part.column("text"), part.column("marked"), part.column("starts"), strict=True):
+                    n, kept = kept_words(text.as_buffer().to_pybytes() if text.is_valid else b"", _own_starts(marked, own))
                     joined = b" ".join(kept)
                     n_words.append(n)
                     n_kept.append(len(kept))
@@ -266,11 +332,18 @@ def without_repeats(
                     columns.append(pa.array(kepts, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    marked = keyed.join(starts, ["id", "sig"], "left").select("id", "sig", "text", "starts")
+    marks = starts.withColumn("marked", F.lit(True))
+    marked = keyed.join(marks, ["id", "sig"], "left").select("id", "sig", "text", "starts", F.coalesce("marked", F.lit(False)).alias("marked"))
     schema = f"id {kind}, sig int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * (not digest_only)
     return marked.mapInArrow(run, schema)
 
 
+def shortened(text: bytes, starts: np.ndarray | None) -> bytes:
+    """The text as it is if it loses nothing, or else the words left, with single spaces."""
+    n, kept = kept_words(text, starts)
+    return text if len(kept) == n else b" ".join(kept)
+
+
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated windows removed from the text; all columns and rows stay.
 
@@ -281,17 +354,16 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own_id, own_sig, marks = (fresh(docs, x) for x in ("_id", "_sig", "_starts"))
     starts = repeated_starts(docs, id_col, text_col).withColumnsRenamed({"id": own_id, "sig": own_sig, "starts": marks})
     sig = F.hash(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.join(starts, (F.col(id_col) == F.col(own_id)) & (sig == F.col(own_sig)), "left").select(*names, marks)
+    own = [F.col(f"`{c}`") for c in names]
+    marked = docs.join(starts, (F.col(id_col) == F.col(own_id)) & (sig == F.col(own_sig)), "left").select(*own, F.col(marks), F.col(own_id).isNotNull().alias(own_id))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
                 texts = [
-                    b" ".join(kept_words(text.as_buffer().to_pybytes(), own.values.to_numpy())[1])
-                    if own.is_valid and text.is_valid
-                    else (text.as_buffer().to_pybytes() if text.is_valid else None)
-                    for text, own in zip(part.column(at), part.column(len(names)), strict=True)
+                    shortened(text.as_buffer().to_pybytes(), _own_starts(mark, own)) if text.is_valid else None
+                    for text, own, mark in zip(part.column(at), part.column(len(names)), part.column(len(names) + 1), strict=True)
                 ]
                 columns = list(part.columns)[: len(names)]
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
