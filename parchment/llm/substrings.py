@@ -11,8 +11,8 @@ windows have equal minimisers. So:
    documents through the automaton of their shard, which locates every occurrence. Documents travel as these passages because a
    whole text would have to go to nearly every shard.
 
-A minimiser with more than CROWD occurrences is dealt by whole windows, and the passages of such windows are dealt over SALTS
-tasks with a copy of the window each, so neither a very frequent phrase nor a large group of near copies meets in one task.
+A minimiser with more than CROWD occurrences is dealt by whole windows, and the passages of such windows are dealt over a task for
+each CROWD of them, with a copy of the window each, so neither a very frequent phrase nor a large group of near copies meets in one task.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from parchment.llm.text import buffers, mix, pieces, whitespace_classes, words
 
 WINDOW = 13
 GRAM = 5
-#: Occurrences from which a minimiser's windows are dealt one by one, and tasks that share the occurrences of such a window.
-CROWD, SALTS = 1024, 32
+#: Occurrences from which a minimiser's windows are dealt one by one, and of such a minimiser for each copy of its windows.
+CROWD = 1024
+#: Passages whose matches a shard remembers; most passages occur in several documents.
+REMEMBERED = 20_000
 #: Distinct passages that are confirmed at once, at least, and passages with confirmed windows in the automaton of a shard.
 CONFIRMED, SHARD = 256, 1024
 
@@ -87,7 +89,8 @@ def split_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def passages(texts: DataFrame) -> DataFrame:
-    """``(bucket, crowd, id, sig, at, text)``: passages of ``texts(id, sig, text)`` around the minimisers that two documents or more have."""
+    """``(bucket, crowd, id, sig, at, text)``: passages (UTF-8) of ``texts(id, sig, text)`` around the minimisers that two documents or more
+    have; crowd is over 1 where they are single windows, and says over how many tasks they are dealt."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,7 @@ def passages(texts: DataFrame) -> DataFrame:
         .groupBy("anchor")
         .agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n"))
         .where("x < y")
-        .select("anchor", (F.col("n") > CROWD).alias("crowd"))
+        .select("anchor", F.ceil(F.col("n") / CROWD).cast("int").alias("crowd"))
     )
     recurring = written(recurring, "anchors")
     kept = texts.mapInArrow(places, f"anchor long, id {kind}, packed long").join(recurring, "anchor")
@@ -134,22 +137,22 @@ def passages(texts: DataFrame) -> DataFrame:
                     packed = own.field(1).to_numpy(zero_copy_only=False)
                     for a, p, many in zip(anchor, (packed & 0xFFFFFFFF).tolist(), crowd, strict=True):
                         i, n = p >> 4, p & 15
-                        if many:
-                            out += [(None, k, t, b" ".join(toks[t : t + WINDOW])) for t in range(i, i + n)]
+                        if many > 1:
+                            out += [(None, many, k, t, b" ".join(toks[t : t + WINDOW])) for t in range(i, i + n)]
                         else:
-                            out.append((a, k, i, b" ".join(toks[i : i + n + WINDOW - 1])))
+                            out.append((a, 1, k, i, b" ".join(toks[i : i + n + WINDOW - 1])))
                 if out:
-                    a, k, i, text = zip(*out, strict=True)
+                    a, many, k, i, text = zip(*out, strict=True)
                     k = pa.array(k, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.int64()), part.column("id").take(k), part.column("sig").take(k)]
-                        + [pa.array(i, pa.int32()), pa.array(text, pa.binary()).cast(pa.string())],
-                        names=["bucket", "id", "sig", "at", "text"],
+                        [pa.array(a, pa.int64()), pa.array(many, pa.int32()), part.column("id").take(k), part.column("sig").take(k)]
+                        + [pa.array(i, pa.int32()), pa.array(text, pa.binary())],
+                        names=["bucket", "crowd", "id", "sig", "at", "text"],
                     )
 
     found = texts.join(per_doc, ["id", "sig"]).select("id", "sig", "text", "p")
-    found = found.mapInArrow(cut, f"bucket long, id {kind}, sig int, at int, text string")
-    return found.select(F.coalesce("bucket", F.xxhash64("text")).alias("bucket"), F.col("bucket").isNull().alias("crowd"), "id", "sig", "at", "text")
+    found = found.mapInArrow(cut, f"bucket long, crowd int, id {kind}, sig int, at int, text binary")
+    return found.select(F.coalesce("bucket", F.xxhash64("text")).alias("bucket"), "crowd", "id", "sig", "at", "text")
 
 
 class Letters:
@@ -197,12 +200,12 @@ def phrases(found: DataFrame) -> DataFrame:
     dealt = distinct.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "crowd", "text", "least", "most")
 
     def shard(rows: list[tuple]) -> pa.RecordBatch | None:
-        firsts = confirmed((r[2].encode(), r[3], r[4]) for r in rows)
+        firsts = confirmed((r[2], r[3], r[4]) for r in rows)
         hits = [(*r[:3], x) for r, x in zip(rows, firsts, strict=True) if any(y is not None for y in x)]
         if not hits:
             return None
         a, b, c, d = zip(*hits, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d)], names=["bucket", "crowd", "text", "firsts"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary()), pa.array(d)], names=["bucket", "crowd", "text", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -216,7 +219,7 @@ def phrases(found: DataFrame) -> DataFrame:
         if rows and (out := shard(rows)):
             yield out
 
-    return dealt.mapInArrow(run, f"bucket long, crowd boolean, text string, firsts array<{kind}>")
+    return dealt.mapInArrow(run, f"bucket long, crowd int, text binary, firsts array<{kind}>")
 
 
 def located(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -224,8 +227,8 @@ def located(found: DataFrame, known: DataFrame) -> DataFrame:
     kind = found.schema["id"].dataType.simpleString()
     shards = F.lit(max(1, known.count() // SHARD))
     shard = F.pmod(F.xxhash64("bucket"), shards).alias("shard")
-    salts = F.when(F.col("crowd"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salt = F.when(F.col("crowd"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
+    salts = F.sequence(F.lit(0), F.col("crowd") - 1)
+    salt = F.pmod(F.xxhash64("id"), F.col("crowd")).cast("int").alias("salt")
     blank = lambda name, t: F.lit(None).cast(t).alias(name)
     of_automata = known.select(shard, F.explode(salts).alias("salt"), "text", "firsts", blank("id", kind), blank("sig", "int"), blank("at", "int"))
     of_texts = found.select(shard, salt, "text", blank("firsts", f"array<{kind}>"), "id", "sig", "at")
@@ -235,7 +238,7 @@ def located(found: DataFrame, known: DataFrame) -> DataFrame:
     dealt = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("id").isNotNull()).select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, letters, machine, ready = None, Letters(), ahocorasick.Automaton(), False
+        own, letters, machine, ready, matches = None, Letters(), ahocorasick.Automaton(), False, {}
         for batch in batches:
             place, sig, starts = [], [], []
             ids, sigs = batch.column("id"), batch.column("sig").to_pylist()
@@ -243,9 +246,9 @@ def located(found: DataFrame, known: DataFrame) -> DataFrame:
             rows = zip(keys, ids.to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("at").to_pylist(), strict=True)
             for k, (key, doc, text, firsts, at) in enumerate(rows):
                 if key != own:
-                    own, letters, machine, ready = key, Letters(), ahocorasick.Automaton(), False
+                    own, letters, machine, ready, matches = key, Letters(), ahocorasick.Automaton(), False, {}
                 if doc is None:
-                    s = letters.learn(text.encode())
+                    s = letters.learn(text)
                     for t, first in enumerate(firsts):
                         if first is not None:
                             machine.add_word(s[t : t + WINDOW], first)
@@ -255,11 +258,16 @@ def located(found: DataFrame, known: DataFrame) -> DataFrame:
                     ready = True
                 if not len(machine):
                     continue
-                hits = [at + end - WINDOW + 1 for end, first in machine.iter(letters.spell(text.encode())) if first < doc]
-                if hits:
+                hits = matches.get(text)
+                if hits is None:
+                    if len(matches) >= REMEMBERED:
+                        matches.clear()
+                    hits = matches[text] = [(end - WINDOW + 1, first) for end, first in machine.iter(letters.spell(text))]
+                found = [at + t for t, first in hits if first < doc]
+                if found:
                     place.append(k)
                     sig.append(sigs[k])
-                    starts.append(hits)
+                    starts.append(found)
             if place:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), pa.array(sig, pa.int32()), pa.array(starts, pa.list_(pa.int32()))], names=["id", "sig", "starts"])
 

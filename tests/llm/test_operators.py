@@ -169,7 +169,7 @@ def test_substrings(docs, empty, monkeypatch):
         gone = {p for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
         left = " ".join(y for k, y in enumerate(w) if k not in gone)
         want[i, len(w), len(gone), hashlib.sha256(left.encode()).hexdigest()] += 1
-    for crowd, shard in ((substrings.CROWD, substrings.SHARD), (1, 2)):  # the second deals every passage by whole windows, to many automata
+    for crowd, shard in ((substrings.CROWD, substrings.SHARD), (1, 2)):  # the second deals all passages by whole windows, to many automata
         monkeypatch.setattr(substrings, "CROWD", crowd)
         monkeypatch.setattr(substrings, "SHARD", shard)
         got = substrings.without_repeats(docs).collect()
@@ -187,7 +187,7 @@ def test_automata_are_what_locates(docs):
     found = substrings.passages(texts)
     known = substrings.phrases(found)
     rows = known.collect()
-    assert rows and all(len(r["firsts"]) == len(r["text"].split(" ")) - 12 and any(x is not None for x in r["firsts"]) for r in rows)
+    assert rows and all(len(r["firsts"]) == len(r["text"].split(b" ")) - 12 and any(x is not None for x in r["firsts"]) for r in rows)
     assert substrings.located(found, known).count() > 0 and substrings.located(found, known.limit(0)).count() == 0
     line = "a b c d e f g h i j k l m n"
     assert list(substrings.confirmed([(line.encode(), 1, 1), (line.replace("a", "x").encode(), 2, 3)])) == [[None, 1], [2, None]]
