@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ WINDOW = 13
 GRAM = 5
 #: Occurrences from which a minimiser's windows are dealt one by one, and of such a minimiser for each copy of its windows.
 CROWD = 1024
-#: Passages whose matches a shard remembers; most passages occur in several documents.
-REMEMBERED = 20_000
 #: Distinct passages that are confirmed at once, at least, and passages with confirmed windows in the automaton of a shard.
 CONFIRMED, SHARD = 256, 1024
 
@@ -238,42 +237,73 @@ def located(found: DataFrame, known: DataFrame) -> DataFrame:
     dealt = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("id").isNotNull()).select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, letters, machine, ready, matches = None, Letters(), ahocorasick.Automaton(), False, {}
+        own, automaton = None, Automaton()
         for batch in batches:
-            place, sig, starts = [], [], []
-            ids, sigs = batch.column("id"), batch.column("sig").to_pylist()
-            keys = zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), strict=True)
-            rows = zip(keys, ids.to_pylist(), batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("at").to_pylist(), strict=True)
-            for k, (key, doc, text, firsts, at) in enumerate(rows):
-                if key != own:
-                    own, letters, machine, ready, matches = key, Letters(), ahocorasick.Automaton(), False, {}
-                if doc is None:
-                    s = letters.learn(text)
-                    for t, first in enumerate(firsts):
-                        if first is not None:
-                            machine.add_word(s[t : t + WINDOW], first)
+            shard, salt = (batch.column(c).to_numpy() for c in (0, 1))
+            streamed = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0) | np.diff(streamed)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                if not part.num_rows:
                     continue
-                if not ready:
-                    machine.make_automaton()
-                    ready = True
-                if not len(machine):
-                    continue
-                hits = matches.get(text)
-                if hits is None:
-                    if len(matches) >= REMEMBERED:
-                        matches.clear()
-                    hits = matches[text] = [(end - WINDOW + 1, first) for end, first in machine.iter(letters.spell(text))]
-                found = [at + t for t, first in hits if first < doc]
-                if found:
-                    place.append(k)
-                    sig.append(sigs[k])
-                    starts.append(found)
-            if place:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), pa.array(sig, pa.int32()), pa.array(starts, pa.list_(pa.int32()))], names=["id", "sig", "starts"])
+                if (key := (shard[a], salt[a])) != own:
+                    own, automaton = key, Automaton()
+                if not streamed[a]:
+                    automaton.learn(part.column("text").to_pylist(), part.column("firsts"))
+                elif (out := automaton.streamed(part)) is not None:
+                    yield out
 
     return dealt.mapInArrow(run, f"id {kind}, sig int, starts array<int>")
 
 
+class Automaton:
+    """The automaton of a shard's confirmed windows, each with the first document that has it."""
+
+    def __init__(self) -> None:
+        self.letters, self.machine, self.ready = Letters(), ahocorasick.Automaton(), False
+
+    def learn(self, texts: list[bytes], firsts: pa.ListArray) -> None:
+        begin = firsts.offsets.to_numpy()
+        values = firsts.values.to_pylist()
+        for text, at in zip(texts, begin.tolist(), strict=False):
+            s = self.letters.learn(text)
+            for t in range(len(s) - WINDOW + 1):
+                if values[at + t] is not None:
+                    self.machine.add_word(s[t : t + WINDOW], values[at + t])
+
+    def streamed(self, rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        """``(id, sig, starts)`` of the passages with a window that a smaller id has, too; passages that are equal pass once."""
+        if not len(self.machine):
+            return None
+        if not self.ready:
+            self.machine.make_automaton()
+            self.ready = True
+        coded = rows.column("text").dictionary_encode()
+        places, firsts, count = [], [], []
+        for text in coded.dictionary.to_pylist():
+            before = len(places)
+            for end, first in self.machine.iter(self.letters.spell(text)):
+                places.append(end - WINDOW + 1)
+                firsts.append(first)
+            count.append(len(places) - before)
+        if not places:
+            return None
+        which, count = coded.indices.to_numpy(), np.array(count)
+        n, begin = count[which], (np.cumsum(count) - count)[which]
+        row = np.repeat(np.arange(len(which)), n)
+        hit = np.arange(len(row)) + np.repeat(begin - (np.cumsum(n) - n), n)
+        ids = rows.column("id")
+        earlier = pc.less(pa.array(firsts, ids.type).take(pa.array(hit)), ids.take(pa.array(row))).to_numpy(zero_copy_only=False)
+        row, hit = row[earlier], hit[earlier]
+        if not len(row):
+            return None
+        starts = rows.column("at").to_numpy(zero_copy_only=False).astype(np.int32)[row] + np.array(places, np.int32)[hit]
+        some, sizes = np.unique(row, return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(starts, pa.int32()))
+        some = pa.array(some)
+        return pa.RecordBatch.from_arrays([ids.take(some), rows.column("sig").take(some), lists], names=["id", "sig", "starts"])
+
+
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, sig, starts)``: for each row that has any, the word places where a window starts whose words also start
     in a document with a smaller id; null for a row whose whole text a smaller id has, which loses every window."""
