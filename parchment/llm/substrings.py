@@ -264,7 +264,7 @@ class Automaton:
 
     def learn(self, texts: list[bytes], firsts: pa.ListArray) -> None:
         begin = firsts.offsets.to_numpy()
-        values = firsts.values.to_pylist()
+        begin, values = begin - begin[0], firsts.flatten().to_pylist()
         for text, at in zip(texts, begin.tolist(), strict=False):
             s = self.letters.learn(text)
             for t in range(len(s) - WINDOW + 1):
