@@ -137,4 +137,6 @@ def scored(docs: DataFrame, model: Model, folds: int, held_out: int) -> DataFram
 
 
 def classified(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 4000) -> DataFrame:
+    """Train on the labels outside the held-out fold and score every row of ``docs``; see ``scored`` for the columns. Without
+    labels of both kinds all rows score alike."""
     return scored(docs, trained(docs, labels, folds, held_out, most), folds, held_out)

@@ -50,6 +50,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(rules.ledger(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, and what it alone rejects, from one ledger."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,7 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_token_counts, op3_sentencepiece, op4_mixing, op5_quality_rules, op6_quality_classifier,
-        op7_substring_dedup, op8_embeddings, op9_simhash, op10_warc,
+        op7_substring_dedup, op8_embeddings, op9_simhash, op10_warc, quality_ablations,
     ]
     return {f.__name__: f for f in found}
 
@@ -96,6 +101,13 @@ SELECT *, failed & {rules.mask(rules.BASE)} <> 0 AS base_failed, failed & {rules
     '{rules.CURRENT}' AS policy FROM f
 """
 
+_ABLATIONS = f"""
+WITH f AS (SELECT failed, count(*) AS n FROM ({_OP5}) GROUP BY 1),
+p AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', {rules.mask([r])}, {rules.mask(list(rs))})" for v, rs in rules.POLICIES.items() for r in rs)}) t(policy, rule, bit, every))
+SELECT policy, rule, CAST(coalesce(sum(n) FILTER (failed & bit <> 0), 0) AS BIGINT) AS n_failed, CAST(coalesce(sum(n) FILTER (failed & every = bit), 0) AS BIGINT) AS n_only
+FROM f CROSS JOIN p GROUP BY policy, rule
+"""
+
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
@@ -132,4 +144,4 @@ FROM p JOIN m USING (html)
 
 def oracle_sql() -> dict[str, str]:
     """SQL where DuckDB can say the same; the rest (trained models, BPE, sampling, raking, XXH64) is tested by brute force."""
-    return {"op5_quality_rules": _OP5, "op7_substring_dedup": _OP7, "op8_embeddings": _OP8, "op10_warc": _OP10}
+    return {"op5_quality_rules": _OP5, "quality_ablations": _ABLATIONS, "op7_substring_dedup": _OP7, "op8_embeddings": _OP8, "op10_warc": _OP10}

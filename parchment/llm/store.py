@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the session names none (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Only in local mode, where all tasks share one machine, may the session name none: then
+    it is a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="parchment-")
@@ -35,7 +39,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Spark is asked to drop the shuffle files of the write as soon as it ends; nothing reads them again.
+    Spark is asked to drop the shuffle files of the write as soon as it ends; nothing reads them again. The setting is the session's,
+    so it may also hold for what another thread writes meanwhile, which loses nothing by it.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)

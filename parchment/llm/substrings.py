@@ -35,7 +35,7 @@ GRAM = 5
 #: Occurrences from which a minimiser's windows are dealt one by one, and of such a minimiser for each copy of its windows.
 CROWD = 1024
 #: Distinct passages that are confirmed at once, at least, and passages with confirmed windows in the automaton of a shard.
-CONFIRMED, SHARD = 256, 1024
+CONFIRMED, SHARD = 256, 256
 
 CLASSES = whitespace_classes()
 

@@ -134,6 +134,26 @@ def test_simhash(docs, empty):
     assert collections.Counter(x for x in ids if x is not None) == dict.fromkeys((k for k, v in want.items() if k == v), 1) and ids.count(None) == 2
 
 
+def test_fingerprints_are_those_of_spark_hashes(docs):
+    """Shingles and majorities by native expressions, hashes by Spark's own XXH64 with seed 42."""
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    rows = docs.where("length(coalesce(text, '')) < 20000").select("doc_id", "text", words.alias("w"))
+    whole = F.when(F.size("w") > 0, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(F.size("w") < 3, whole).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.array_join(F.slice("w", k, 3), " ")))
+    hashed = rows.select("doc_id", "text", F.transform(grams, lambda g: F.xxhash64(g)).alias("h"))
+    got = simhash.fingerprints(docs).select(F.col("id"), F.hex("fp").alias("fp"))
+    have = collections.defaultdict(set)
+    for r in got.collect():
+        have[r["id"]].add(int(r["fp"], 16))
+    n = 0
+    for r in hashed.collect():
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r["h"]) > len(r["h"]))
+        assert want in have[r["doc_id"]], r["doc_id"]
+        n += want != 0
+    assert n > 40
+
+
 def test_ball_links_planted_fingerprints(spark):
     rng = random.Random(3)
     for radius in range(5):
@@ -670,6 +690,96 @@ def test_classifiers(spark, docs, empty, module, target, folds, held):
     assert module.classified(docs, lab.limit(0), folds, held).count() == docs.count() and module.classified(empty, lab, folds, held).count() == 0
 
 
+def naive_pooled(model, text):
+    """A text's features word by word: each filter's greatest product with a window of embeddings, zeros after the end."""
+    ids, _ = toxicity.hashed(pa.array([text]), model.bits)
+    vectors = [model.embedding[model.rows[i]] for i in ids] + [np.zeros(model.embedding.shape[1])] * 3
+    out = []
+    for m in toxicity.WIDTHS:
+        for f in range(model.filters[m].shape[2]):
+            sums = [sum(float(vectors[t + j] @ model.filters[m][j, :, f]) for j in range(m)) for t in range(len(vectors) - m + 1)]
+            out.append(max(max(sums) + float(model.biases[m][f]), 0.0))
+    return out
+
+
+def test_convolution_is_the_plain_one(texts):
+    rows, marks = labelled(300)
+    model = toxicity.fit(pa.array([r[1] for r in rows]), np.array([m[2] for m in marks]), [r[2] for r in rows], epochs=3)
+    some = [r[1] for r in rows[:20]] + ["", "idiot", "new unknown words", texts[49], texts[52]]
+    ids, first = toxicity.hashed(pa.array(some), model.bits)
+    got = model.pooled(model.rows[ids], first, model.tables())
+    assert np.allclose(got, [naive_pooled(model, t) for t in some], atol=1e-4)
+    alone = [model.score(pa.array([t]), model.tables())[0] for t in some]
+    assert np.allclose(model.score(pa.array(some), model.tables()), alone)  # whatever text comes next
+    assert set(model.thresholds) == {"de", "en"} and all(0 < x < 1 for x in model.thresholds.values())
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    dims, n_filters, pad = 4, 3, max(toxicity.WIDTHS)
+    emb = rng.normal(size=(9, dims))
+    emb[0] = 0
+    filters = {m: rng.normal(size=(m, dims, n_filters)) for m in toxicity.WIDTHS}
+    biases = {m: rng.normal(size=n_filters) for m in toxicity.WIDTHS}
+    out, bias = rng.normal(size=n_filters * len(toxicity.WIDTHS)), 0.3
+    x, start = toxicity.padded(rng.integers(1, 9, 30), np.array([0, 7, 7, 18, 30]), pad)
+    y, weight = np.array([1, 0, 1, 0]), np.array([0.2, 0.3, 0.1, 0.4])
+    loss = lambda: toxicity.loss_and_gradients(emb, filters, biases, out, bias, x, start, pad, y, weight)
+    _, grads = loss()
+    for name, value in [("emb", emb), ("out", out)] + [(f"f{m}", filters[m]) for m in filters] + [(f"b{m}", biases[m]) for m in biases]:
+        for at in [tuple(rng.integers(0, s) for s in value.shape) for _ in range(12)]:
+            if name == "emb" and at[0] == 0:
+                continue
+            own = value[at]
+            value[at] = own + 1e-5
+            up = loss()[0]
+            value[at] = own - 1e-5
+            down = loss()[0]
+            value[at] = own
+            assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-6, (name, at)
+
+
+def test_cuts_are_drawn_to_the_common_one():
+    assert toxicity.best_cut(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.55)
+    assert toxicity.best_cut(np.array([0.9, 0.8]), np.array([0, 0])) is None
+    rng = np.random.default_rng(1)
+    margin = rng.normal(size=4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-2.5 * margin))).astype(int)
+    assert abs(toxicity.fitted_slope(margin, y, 0.1) - 2.5) < 0.2
+
+
+def test_ftrl_is_the_plain_one():
+    """Weights against a dictionary of coordinates, updated one by one."""
+    rows, marks = labelled(60)
+    texts, y = [r[1] for r in rows], np.array([m[1] for m in marks])
+    bits, alpha, beta, l1, l2 = 16, 0.15, 1.0, 0.02, 0.5
+    model = quality.fit(pa.array(texts), y, bits=bits, epochs=2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        own = 0.0 if k == "bias" else l1
+        return 0.0 if abs(z[k]) <= own else -(z[k] - (1 if z[k] > 0 else -1) * own) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    xs = []
+    for text in texts:
+        keys, _ = quality.features(pa.array([text]), bits, 2)
+        xs.append({k: c * 40 / len(keys) for k, c in collections.Counter(keys.tolist()).items()} | {"bias": 1.0})
+    rng = np.random.default_rng(7)
+    for _ in range(2):
+        for i in rng.permutation(60):
+            w = {k: weight(k) for k in xs[i]}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in xs[i].items())))
+            slope = (p - y[i]) * (0.5 / y.mean() if y[i] else 0.5 / (1 - y.mean()))
+            for k, v in xs[i].items():
+                g = slope * v
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    assert abs(model.bias - weight("bias")) < 1e-9
+    want = {k: weight(k) for k in z if k != "bias"}
+    assert all(abs(model.weights[k] - w) < 1e-6 for k, w in want.items()) and np.count_nonzero(model.weights) == sum(w != 0 for w in want.values())
+
+
 # ---- pipeline
 
 
