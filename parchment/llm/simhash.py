@@ -130,6 +130,7 @@ def firsts(docs: DataFrame, near: DataFrame, id_col: str) -> DataFrame:
     n, own_id = fresh(docs, "_n"), fresh(docs, "_kept")
     kept = near.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(own_id)).distinct()
     own = docs.join(kept, F.col(id_col) == F.col(own_id)).drop(own_id)
-    order = Window.partitionBy(id_col).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != id_col])
+    sortable = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    order = Window.partitionBy(id_col).orderBy(*[sortable(f) for f in docs.schema.fields if f.name != id_col])
     first = own.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
     return first.unionByName(docs.where(F.col(id_col).isNull()))

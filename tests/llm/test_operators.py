@@ -4,14 +4,17 @@ import base64
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -154,6 +157,13 @@ def test_fingerprints_are_those_of_spark_hashes(docs):
     assert n > 40
 
 
+def test_repeated_ids_with_maps_are_put_in_order(spark):
+    rows = [(1, "a b c d e f g", {"k": 2}), (1, "a b c d e f g", {"k": 1}), (2, "other words in this one here", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    for once in (simhash.deduplicated(df), minhash.deduplicated(df)):
+        assert sorted((r["doc_id"], (r["m"] or {}).get("k")) for r in once.collect()) == [(1, 1), (2, None)]
+
+
 def test_ball_links_planted_fingerprints(spark):
     rng = random.Random(3)
     for radius in range(5):
@@ -804,6 +814,97 @@ def test_pipeline(spark, tmp_path):
     assert {(r["doc_id"], r["decoded"]) for r in out} == set(left.items()) and {r["rank"] for r in out} == {1, 2}
 
 
+def brute_pipeline(rows):
+    """The first four stages, document by document: rows (doc_id, text, lang, source) to what is left, as id -> text."""
+    # quality rules: the measurements by plain Python, the conditions as they are written down
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m (id BIGINT, n_words BIGINT, word_chars BIGINT, n_symbols BIGINT, n_lines BIGINT, n_dup_lines BIGINT, n_repeat_words BIGINT)")
+    for i, x, *_ in rows:
+        w, c, s, dup, rep = rule_truth(x)
+        con.execute("INSERT INTO m VALUES (?, ?, ?, ?, ?, ?, ?)", [i, w, c, s, sum(bool(toks(y)) for y in (x or "").split("\n")), dup, rep])
+    enforced = set(rules.BASE) | set(rules.POLICIES[rules.CURRENT])
+    bad = " OR ".join(f"({cond})" for name, cond in rules.RULES.items() if name in enforced)
+    kept = {r[0] for r in con.execute(f"SELECT id FROM m WHERE NOT coalesce({bad}, false)").fetchall()}
+    rows = [r for r in rows if r[0] in kept]
+    # near copies: the least id of each component by Jaccard similarity of five-word shingles
+    of = near_truth([r[:2] for r in rows])
+    rows = [r for r in rows if of[r[0]] == r[0]]
+    # passages of 13 words that a smaller id has
+    first = {}
+    for i, x, *_ in rows:
+        w = toks(x)
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, x, lang, source in rows:
+        w = toks(x)
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        out.append((i, " ".join(y for k, y in enumerate(w) if k not in gone) if gone else x, lang, source))
+    # mixing: factors found group by group by bisection, until all sums are met
+    share, power = corpus_pipeline.MIX_SHARE, corpus_pipeline.MIX_POWER
+    form = lambda x: "empty" if not toks(x) else "tabular" if re.search(r"\S \| \S", x) else "numeric" if re.search(r"\d{4,}", x) else "prose"
+    cell = {i: (source, lang, form(x)) for i, x, lang, source in out}
+    tokens = collections.Counter()
+    for i, x, *_ in out:
+        tokens[cell[i]] += len(toks(x))
+    total, keys = sum(tokens.values()), list(tokens)
+    goals = []
+    for d in range(3):
+        own = collections.Counter()
+        for k in keys:
+            own[k[d]] += tokens[k]
+        raised = {g: v**power for g, v in own.items() if v}
+        goal, left, room = {g: 0.0 for g in own}, dict(raised), share * total
+        while left:
+            part = {g: room * v / sum(left.values()) for g, v in left.items()}
+            full = [g for g in left if part[g] >= own[g]]
+            if not full:
+                goal |= part
+                break
+            for g in full:
+                goal[g] = own[g]
+                room -= own[g]
+                del left[g]
+        goals.append(goal)
+    log_f = [{g: 0.0 for g in goal} for goal in goals]
+    weight = lambda k: tokens[k] * min(1.0, math.exp(min(50, sum(log_f[d][k[d]] for d in range(3)))))
+    for _ in range(400):
+        for d in range(3):
+            for g in goals[d]:
+                low, high = -30.0, 30.0
+                for _ in range(80):
+                    log_f[d][g] = (low + high) / 2
+                    if sum(weight(k) for k in keys if k[d] == g) < goals[d][g]:
+                        low = log_f[d][g]
+                    else:
+                        high = log_f[d][g]
+    drawn = lambda i: (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)) >> 11) * 2.0**-53
+    p = {k: weight(k) / tokens[k] if tokens[k] else 1.0 for k in keys}
+    assert all(abs(drawn(i) - p[cell[i]]) > 1e-4 for i, *_ in out if p[cell[i]] < 0.999), "a draw too near its probability"
+    return {i: x for i, x, *_ in out if drawn(i) < p[cell[i]]}
+
+
+def test_pipeline_is_the_brute_force_one(spark, tmp_path):
+    rng = random.Random(14)
+    rows, passage = [], sentences(rng, 60)
+    for i in range(150):
+        w = sentences(rng, rng.randrange(15, 120))
+        w += rng.choice(["", "", "", " a | b", " 123456"]) + (" " + passage if i % 9 == 4 else "")
+        rows.append([i, w, rng.choice(["en", "en", "de", None]), rng.choice(["hot", "hot", "hot", "s1", "s2", None])])
+    for i in range(150, 200):  # edited near copies: some alike, some not
+        w = rows[rng.randrange(150)][1].split(" ")
+        for at in rng.sample(range(len(w)), min(len(w), rng.randrange(0, 7))):
+            w[at] = f"edit{at}"
+        rows.append([i, " ".join(w), "en", "s1"])
+    rows += [[200, "", "en", "hot"], [201, None, None, None], [202, "### " * 60, "en", "s2"], [203, "same words " * 90, "de", "s2"], [204, "line of some words here\n" * 12, "de", "s1"]]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = brute_pipeline(rows)
+    out = sampling.decoded(corpus_pipeline.run(spark, f"file://{tmp_path}")).collect()
+    assert {(r["doc_id"], r["decoded"]) for r in out} == set(want.items()) and 60 < len(want) < 190
+    assert all(len({r["ids_hash"] for r in out if r["doc_id"] == i}) == 2 for i in list(want)[:20])
+
+
 def shingles_of(x):
     w = [t.lower() for t in toks(x)]
     return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
