@@ -296,6 +296,39 @@ def validate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OWN = "text[20:44]"
+_ANSWERED = f"""SELECT doc_id, text, n_chars, {NORMAL} AS n, CASE WHEN doc_id % 3 = 0 THEN lang || ' ' || source ELSE {_OWN} END AS name, lpad(CAST(n_chars AS VARCHAR), 10, '0') AS tax,
+    CASE doc_id % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN '£' WHEN 2 THEN 'dollars' END AS mark FROM documents WHERE text IS NOT NULL"""
+
+
+@query(
+    rf"""WITH a AS (SELECT *, {NORMAL.replace("text", "name")} AS v, regexp_matches(text, '{sql_re(candidates.DATE)}') AS dated, regexp_matches(text, '{sql_re(candidates.AMOUNT_PLAIN)}') AS priced,
+      list_contains(list_transform(list_filter(regexp_extract_all(text, '{sql_re(candidates.TAX_ID)}', 0), lambda m: {_TEN}), lambda m: regexp_replace(m, '\D', '', 'g')), tax) AS listed,
+      CASE mark WHEN '£' THEN 'GBP' WHEN 'EUR' THEN 'EUR' END AS code FROM ({_ANSWERED})),
+    b AS (SELECT *, (v <> '' AND contains(n, v)) OR (length(regexp_replace(name, '\D', '', 'g')) = 10 AND regexp_replace(name, '\D', '', 'g') = tax AND listed) AS named, contains(n, tax) OR listed AS taxed FROM a)
+    SELECT doc_id, CASE WHEN named THEN name END AS counterparty_name, CASE WHEN taxed THEN tax END AS counterparty_tax_id, CASE WHEN dated THEN '2024-09-01' END AS issue_date,
+      CASE WHEN priced AND code IS NOT NULL THEN CAST(n_chars AS VARCHAR) || '.25' END AS gross_amount, code AS currency,
+      array_to_string(list_filter([CASE WHEN name IS NOT NULL AND NOT named THEN 'counterparty_name' END, CASE WHEN NOT taxed THEN 'counterparty_tax_id' END, CASE WHEN NOT dated THEN 'issue_date' END,
+        CASE WHEN NOT priced THEN 'gross_amount' END, CASE WHEN mark IS NOT NULL AND code IS NULL THEN 'currency' END, CASE WHEN priced AND code IS NULL THEN 'gross_amount' END], lambda x: x IS NOT NULL), ',') AS nulled FROM b"""
+)
+def validate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers checked against texts as they are: what a text holds decides, not how the answer was made."""
+    d = F.col("doc_id")
+    docs = texts(spark, sf_dir).withColumns({
+        "name": F.when(d % 3 == 0, F.concat("lang", F.lit(" "), "source")).otherwise(F.substring("text", 20, 25)),
+        "mark": F.when(d % 4 == 0, "EUR").when(d % 4 == 1, "£").when(d % 4 == 2, "dollars"),
+    })
+    answer = F.struct(
+        F.lit("invoice").alias("doc_type"), F.col("name").alias("counterparty_name"), F.lpad(F.col("n_chars").cast("string"), 10, "0").alias("counterparty_tax_id"),
+        F.lit("2024-09-01").alias("issue_date"), F.concat("n_chars", F.lit(".25")).alias("gross_amount"), F.col("mark").alias("currency"), F.lit("Said.").alias("summary"),
+    )
+    out = validation.validated(docs.select("doc_id", "text", F.to_json(answer).alias("raw")), "raw", "text")
+    return out.select(
+        "doc_id", "counterparty_name", "counterparty_tax_id", F.col("issue_date").cast("string").alias("issue_date"), F.col("gross_amount").cast("string").alias("gross_amount"),
+        "currency", F.array_join("nulled_fields", ",").alias("nulled"),
+    )
+
+
 @query(
     """SELECT CAST(count(*) FILTER (doc_id % 11 = 0 OR doc_id % 7 = 0) AS BIGINT) AS unusable,
     CAST(count(*) FILTER (doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 7 <> 0) AS BIGINT) AS blank_summary FROM documents WHERE text IS NOT NULL"""

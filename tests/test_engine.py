@@ -133,6 +133,32 @@ def test_context_keeps_a_hit_in_the_middle(spark):
     assert windowing.context_tokens(2048, 1000, 900, 300) == 384 and windowing.context_tokens(100, 1000, 0, 300) == 200
 
 
+def plain_context(clean, budget):
+    """The context of a text, character by character as it is described."""
+    if len(clean) <= budget:
+        return clean
+    head, tail_n = int(budget * fixed.HEAD_SHARE), int(budget * fixed.TAIL_SHARE)
+    tail = max(head, len(clean) - tail_n)
+    region, hits = clean[head:tail], set()
+    for pattern in (candidates.KEYWORD, candidates.TAX_ID, candidates.DATE, candidates.AMOUNT_PLAIN):
+        for m in re.finditer(pattern.replace("(?iU)", ""), region, re.I):
+            if pattern != candidates.TAX_ID or len(re.sub(r"\D", "", m.group())) == 10:
+                hits.add(m.start() + head)
+    windows = spec_windows(sorted(hits), head, tail, budget - head - (len(clean) - tail))
+    parts = [clean[:head], *(clean[a:b] for a, b in windows), clean[tail:]]
+    return fixed.OMITTED.join(p for p in parts if p.strip())
+
+
+def test_contexts_are_the_plain_ones(spark):
+    rng = random.Random(8)
+    parts = ["lorem ", "ipsum dolor ", "NIP 526-000-12-46 ", "12.03.2024 ", "1 234,50 zł ", "razem ", "termin płatności ", "\n", "   ", "due date March 5, 2025 "]
+    rows = [(i, "".join(rng.choice(parts if rng.random() < 0.2 else parts[:2]) for _ in range(rng.randrange(1, 900))), rng.choice([50, 400, 1500])) for i in range(80)]
+    got = windowing.with_context(spark.createDataFrame(rows, "id int, t string, b int"), "t", "b").collect()
+    assert len(got) == 80
+    for r in got:
+        assert r["context"] == plain_context(r["t"], r["b"]), r["id"]
+
+
 ANSWER = {"doc_type": "invoice", "counterparty_name": "ACME", "counterparty_tax_id": "PL 526-000-12-46", "issue_date": "2024-03-12", "due_date": None, "gross_amount": 1234.565, "currency": "zł", "summary": "An invoice."}
 SOURCE = "Acme\nNIP 526-000-12-46, 12.03.2024, razem 1 234,57 zł"
 
