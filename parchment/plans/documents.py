@@ -211,17 +211,6 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.budget_prefix(rows, "cost", 200_000, 1234)
 
 
-@query(
-    f"""SELECT d.doc_id, b.item_id, position({NORMAL.replace('text', 'b.text')} IN {NORMAL.replace('text', 'd.text')}) > 0 AS occurs
-    FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.text IS NOT NULL AND b.text IS NOT NULL"""
-)
-def occurs_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40)
-    items = table(spark, sf_dir, "benchmark").where("text is not null").withColumnRenamed("text", "item")
-    both = docs.join(items, "item_id").withColumns({"n": text.normalized(F.col("text")), "v": text.normalized(F.col("item"))})
-    return both.select("doc_id", "item_id", candidates.occurs_in(F.lit(None).cast("string"), F.col("text"), F.col("v"), F.col("n")).alias("occurs"))
-
-
 #: Bytes of benchmark text that are sent to every task at once; a larger benchmark is taken in as many passes as it needs.
 ITEM_BYTES = 1 << 24
 

@@ -172,9 +172,12 @@ def files_without_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.files_without_document(*_files_and_documents(spark, sf_dir)).select("path", "document_id")
 
 
-@query(f"SELECT id, status FROM ({_CUSTOMERS}) WHERE id NOT IN (SELECT document_id FROM ({_FILES}))")
+@query(f"SELECT id, status FROM ({_CUSTOMERS}) WHERE id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')")
 def documents_without_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.documents_without_file(*_files_and_documents(spark, sf_dir)).select("id", "status")
+    """Customers as documents to whom no urgent order leads."""
+    _, docs = _files_and_documents(spark, sf_dir)
+    files = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("document_id"))
+    return inventory.documents_without_file(files, docs).select("id", "status")
 
 
 @query(f"SELECT CAST(coalesce(sum(tokens_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out), 0) AS BIGINT) AS tokens_out FROM ({_LEDGER}) WHERE completed_at IS NOT NULL")
