@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import logging
 import math
 import random
 import re
@@ -393,6 +394,39 @@ def test_sparse_links_between_shards_are_found(dims):
     assert found_by(g, graphs.unit_rows(q), np.arange(8000, 12096)) >= 79
 
 
+def test_cells_compare_few_pairs_and_find_the_links(spark, monkeypatch, caplog):
+    """The work of a label is a part of all its pairs, in one shard or several, and its links are those of a scan."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(4000, 64)), np.repeat(rng.normal(size=(40, 64)), 20, 0) + 0.18 * rng.normal(size=(800, 64))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    n, u = len(x), graphs.unit_rows(x.astype(float))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    g = graphs.build(np.arange(300), np.arange(300), np.ones(300, int), u[:300], None)
+    visits, probes, found = graphs.visits_for(g, u[300:1000], 0.93)
+    assert 0 < visits < 40 and found >= graphs.RECALL * probes
+    at = graphs.nearest(g, u.astype(np.float32), visits)
+    assert (at[:, 0] == (u @ g.exact.T).argmax(1)).mean() > 0.999
+    order = np.argsort(at[:, 0], kind="stable")
+    one, a, b = (graphs.Shard(k, k, np.ones(len(k), int), x[k], at[k, 0], at[k]) for k in (order, order[:2500], order[2500:]))
+    compared, plain = [], graphs.linked
+    monkeypatch.setattr(graphs, "linked", lambda p, i, q, j, least: compared.append(len(p.ids[i]) * len(q.ids[j])) or plain(p, i, q, j, least))
+    links = graphs.paired(one, one, 0.93)[0]
+    assert sum(compared) < n * n / 4
+    assert (links <= near[order].sum(1)).all() and links.sum() >= 0.99 * near.sum()
+    left, right, both = (graphs.paired(*p, 0.93) for p in ((a, a), (b, b), (a, b)))
+    assert np.array_equal(np.concatenate([left[0] + both[0], right[0] + both[1]]), links)
+    monkeypatch.undo()
+    monkeypatch.setattr(graphs, "CELL", 16)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)] + [(n + i, v.tolist(), "b") for i, v in enumerate(x[:50])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    with caplog.at_level(logging.INFO, logger="parchment.llm.graphs"):
+        got = {r["vec_id"]: r["n_links"] for r in graphs.near_duplicates(df, shard=1500).collect()}
+    assert "2 graphs, 1 without use" in caplog.text
+    assert all(got[i] <= near[i].sum() for i in range(n)) and sum(got[i] for i in range(n)) >= 0.99 * near.sum()
+    assert all(got[n + i] == near[i, :50].sum() for i in range(50))
+
+
 # ---- 3
 
 
