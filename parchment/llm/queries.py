@@ -33,7 +33,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_sampling.encoded(table(spark, sf_dir, "documents"), k=2, with_ids=False)
+    """Two sampled segmentations of every document as piece ids, and the text that these ids decode to."""
+    return sentencepiece_sampling.encoded(table(spark, sf_dir, "documents"), k=2, with_texts=True)
 
 
 #: Targets of the mixture: languages and topics by name, the rest of them together; sources by their smoothed shares.

@@ -441,6 +441,7 @@ def encoded(
     sharpness: float = 1.0,
     seed: int = 42,
     with_ids: bool = True,
+    with_texts: bool = False,
 ) -> DataFrame:
     """Up to k distinct segmentations of each row's text.
 
@@ -448,7 +449,7 @@ def encoded(
     (of the segmentation), perturbed (with its Gumbel variable), inclusion (probability that its perturbed value
     passes the threshold, the value of the next segmentation: the weight 1 / inclusion makes sums over samples
     unbiased) and decoded_ok (decoding the ids gives the text back; false where the text itself holds U+2581, which
-    stands for a space). A text with fewer segmentations gives them all, with inclusion 1. A null or empty text has one,
+    stands for a space); with ``with_texts`` also decoded, that text. A text with fewer segmentations gives them all, with inclusion 1. A null or empty text has one,
     without pieces. Samples are seeded by the key columns: rows that repeat a key and text get equal samples; null keys
     are one more value. One pass, no shuffle.
     """
@@ -460,7 +461,7 @@ def encoded(
     tail = [("rank", pa.int32()), ("n_pieces", pa.int32()), ("ids_hash", pa.int64()), ("log_prob", pa.float64())]
     tail += [("perturbed", pa.float64()), ("inclusion", pa.float64()), ("decoded_ok", pa.bool_())]
     schema = ", ".join([*fields, "rank int, n_pieces int, ids_hash long, log_prob double, perturbed double, inclusion double, decoded_ok boolean"])
-    schema += ", ids array<int>" * with_ids
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = sent.value
@@ -481,7 +482,8 @@ def encoded(
                     lp = lp[t.first[1:]] - lp[t.first[:-1]]
                     with np.errstate(over="ignore"):
                         inclusion = -np.expm1(-np.exp(lp - threshold))
-                    ok = [x == data[a:b] for x, a, b in zip(decoder.decode(ids, first), offsets[:-1], offsets[1:], strict=True)]
+                    back = decoder.decode(ids, first)
+                    ok = [x == data[a:b] for x, a, b in zip(back, offsets[:-1], offsets[1:], strict=True)]
                     spread = mix(ids.astype(np.uint64) + (np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64) * MULT)
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
                     h = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
@@ -493,6 +495,9 @@ def encoded(
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(_offsets(first), pa.array(ids)).take(rows))
                         names.append("ids")
+                    if with_texts:
+                        columns.append(pa.array([back[i].decode("utf-8", "replace") for i in has], pa.string()))
+                        names.append("decoded")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(

@@ -480,6 +480,15 @@ def test_encoding_round_trip(docs, empty, texts):
     assert sampling.encoded(empty).count() == 0 and sampling.decoded(sampling.encoded(empty)).count() == 0
 
 
+def test_sentencepiece_query_returns_ids_and_texts(spark, tmp_path):
+    texts = {0: "some plain words, twice: some plain words", 1: "", 2: None, 3: "zażółć \U0001f600 gęślą\n\ttab  two spaces "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.op3_sentencepiece(spark, f"file://{tmp_path}").collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == {0: 2, 1: 1, 2: 1, 3: 2}
+    for r in rows:
+        assert r["decoded"] == (texts[r["doc_id"]] or "") and len(r["ids"]) == r["n_pieces"] and r["decoded_ok"]
+
+
 # ---- 2
 
 
