@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: 0.8 or more of their five-word shingles in common.
 
-    64 bits of SimHash can't bound that similarity, so minimum hashes find the pairs and whole sets verify them.
+    SimHash fingerprints of the shingles find the pairs within two bits, by all variants within one. As 64 bits can't bound that
+    similarity, minimum hashes find the pairs beyond; whole sets verify both.
     """
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, by_simhash=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

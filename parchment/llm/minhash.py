@@ -166,14 +166,26 @@ def _verified(met: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "fp long, fp2 long").distinct()
 
 
-def links(shingles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``(fp, fp2)`` that join all sets of ``shingles`` that meet in a bucket and are alike.
+def simhash_buckets(docs: DataFrame, shingles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(fp, key)``: a bucket for every variant within one bit of the SimHash of a set's text, over the same shingles.
+
+    Sets whose fingerprints differ in two bits at most meet in one. Rows that repeat an id share their buckets.
+    """
+    prints = simhash.fingerprints(docs, id_col, text_col, SHINGLE).where("id is not null").select("id", F.col("fp").alias("bits")).distinct()
+    of_set = shingles.where("id is not null and fp <> 0").select("id", "fp").join(prints, "id").select("fp", "bits").distinct()
+    variants = of_set.select("fp", F.explode(simhash.ball(F.col("bits"), 1)).alias("variant"))
+    return variants.select("fp", F.xxhash64(F.lit("simhash"), "variant").alias("key"))
+
+
+def links(shingles: DataFrame, texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Links ``(fp, fp2)`` that join all sets of ``shingles`` that meet in a bucket, also one of ``more(fp, key)``, and are alike.
 
     Only the ``texts(id, text)`` that share a bucket are turned into sets.
     """
     known = shingles.where("id is not null")
     nodes = known.groupBy("fp").agg(F.min("id").alias("id"))
-    keys = known.where("fp <> 0").select("fp", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    keys = known.where("fp <> 0").select("fp", F.explode(F.array_distinct("keys")).alias("key"))
+    keys = (keys if more is None else keys.unionByName(more)).distinct()
     same = [F.bit_xor(F.xxhash64("fp", F.lit(k))) for k in (0, 1)]
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), same[0].alias("x"), same[1].alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # those of the same members once
@@ -198,12 +210,16 @@ def links(shingles: DataFrame, texts: DataFrame) -> DataFrame:
     return found.unionByName(written(_verified(pairs, sets), "alike"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of each group of near copies, one row for an id; rows with a null id stay."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_simhash: bool = False) -> DataFrame:
+    """The rows of ``docs`` with the least id of each group of near copies, one row for an id; rows with a null id stay.
+
+    With ``by_simhash`` sets that meet in a SimHash variant are candidates too.
+    """
     shingles = written(shingled(docs, id_col, text_col), "shingles")
     nodes = shingles.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
     other = nodes.select(F.col("fp").alias("fp2"), F.col("rep").alias("b"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pairs = links(shingles, texts).join(nodes, "fp").join(other, "fp2").select(F.col("rep").alias("a"), "b")
+    more = written(simhash_buckets(docs, shingles, id_col, text_col), "simhash-buckets") if by_simhash else None
+    pairs = links(shingles, texts, more).join(nodes, "fp").join(other, "fp2").select(F.col("rep").alias("a"), "b")
     near = simhash.grouped(shingles.select("id", "fp"), pairs)
     return simhash.firsts(docs, near.select(F.col("id").alias(id_col), "component_id"), id_col)

@@ -963,6 +963,27 @@ def near_truth(rows):
     return joined([(a, b) for a in sets for b in sets if a < b and any(near(x, y) for x in sets[a] for y in sets[b])], sets)
 
 
+def test_near_dedup_finds_candidates_by_simhash(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for k in range(8):
+        w = sentences(rng, 400).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "edited"]))]
+    bits = {i: simhash.fingerprint(x.encode(), 5) for i, x in rows}
+    want = {(i, i + 1) for i in range(0, 16, 2) if (bits[i] ^ bits[i + 1]).bit_count() <= 2}
+    assert want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shingles = store.written(minhash.shingled(df, "doc_id", "text"), "shingles")
+    of = {r["fp"]: r["id"] for r in shingles.collect()}
+    bare = shingles.withColumn("keys", F.array().cast("array<long>"))  # no minimum hashes
+    found = minhash.links(bare, df.select(F.col("doc_id").alias("id"), "text"), minhash.simhash_buckets(df, shingles)).collect()
+    assert {tuple(sorted((of[r["fp"]], of[r["fp2"]]))) for r in found} >= want
+    called, plain = [], simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: called.append(a[3]) or plain(*a))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == list(range(0, 16, 2))
+    assert called == [minhash.SHINGLE]
+
+
 @pytest.mark.parametrize("block", [minhash.BLOCK, 5])  # the second verifies large buckets block by block
 def test_pipeline_drops_edited_near_copies(docs, empty, spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
