@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +17,14 @@ _DIVIDER = re.compile(fixed.DIVIDER)
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 #: White space as Python sees it; Java's (?U)\s lacks the four separators.
 WHITE = r"[\s\u001c-\u001f]"
+#: Characters that stay as they are in composition, whatever stands beside them out of these and ASCII, and whose case folds by lower() and ß:
+#: Latin, Cyrillic, punctuation, currencies, kana, ideographs, Hangul.
+PLAIN = (
+    r"\x80-\xb4\xb6-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u045f\u2010-\u2029\u2030-\u205e\u20a0-\u20bf"
+    r"\u3001-\u3029\u3041-\u3094\u30a1-\u30f6\u4e00-\u9fff\uac00-\ud7a3"
+)
+#: Values that a worker holds as Python objects at once.
+SLICE = 32
 
 
 def normal_form(text: str) -> str:
@@ -64,21 +72,32 @@ def _guessed(data: bytes) -> str | None:
 
 
 def _mapped(kind: str, f):  # noqa: ANN001, ANN202
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(f, na_action="ignore")
+    """``f`` of each value that isn't null. A batch has up to 10,000 texts; it stays in Arrow, and SLICE of them at a time become objects."""
+    of = pa.string() if kind == "string" else pa.type_for_alias(kind)
+
+    @F.arrow_udf(kind)
+    def run(x: pa.Array) -> pa.Array:
+        parts = (x.slice(i, SLICE).to_pylist() for i in range(0, len(x), SLICE))
+        out = [pa.array([None if v is None else f(v) for v in part], of) for part in parts]
+        return pa.concat_arrays(out) if out else pa.array([], of)
 
     return run
 
 
+def plain_text(text: Column) -> Column:
+    """Whether all characters of a text are ASCII or PLAIN."""
+    return text.rlike(rf"^\p{{ASCII}}*+(?:[{PLAIN}]++\p{{ASCII}}*+)*+\z")
+
+
 def normalized(text: Column) -> Column:
-    """Exact normal form, by an Arrow UDF."""
-    return _mapped("string", normal_form)(text)
+    """Exact normal form: of PLAIN texts by native expressions, of others by an Arrow UDF, so that few texts leave the JVM."""
+    exact = _mapped("string", normal_form)(F.when(~plain_text(text), text))
+    return F.coalesce(F.when(plain_text(text), normalized_native(text)), exact)
 
 
 def composed(text: Column) -> Column:
-    """Canonical composition; ASCII text is composed already and never leaves the JVM."""
-    other = F.when(~text.rlike(r"^\p{ASCII}*$"), text)
+    """Canonical composition; PLAIN text is composed already and never leaves the JVM."""
+    other = F.when(~plain_text(text), text)
     return F.coalesce(_mapped("string", lambda x: unicodedata.normalize("NFC", x))(other), text)
 
 
@@ -97,7 +116,8 @@ def normalized_native(text: Column) -> Column:
     lines = F.filter(
         F.split(text, LINE_END, -1), lambda x: ~F.regexp_like(F.regexp_replace(x, f"(?U)^{WHITE}+|{WHITE}+$", ""), F.lit(fixed.DIVIDER))
     )
-    joined = F.regexp_replace(F.array_join(lines, "\n"), f"(?U){WHITE}+", " ")
+    kept = F.when(text.rlike(r"[=\-_*~#]{3}"), F.array_join(lines, "\n")).otherwise(text)
+    joined = F.regexp_replace(kept, f"(?U){WHITE}+", " ")
     return F.replace(F.lower(F.trim(joined)), F.lit("ß"), F.lit("ss"))
 
 

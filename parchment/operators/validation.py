@@ -6,7 +6,8 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import candidates, fixed, text
@@ -61,17 +62,37 @@ def parsed(raw: str | None) -> tuple[dict | None, str | None]:
     return out, None
 
 
-def with_parsed(rows: DataFrame, raw_col: str) -> DataFrame:
-    """``rows`` with the struct ``parsed`` (null if the answer can't be used) and ``parse_error``."""
+#: What a worker returns of an answer; the normal form of the name comes along, which saves a pass through Python.
+_ANSWER = pa.struct([
+    ("parsed", pa.struct([(x.split()[0], pa.string()) for x in PARSED.split(", ")])), ("parse_error", pa.string()), ("name_form", pa.string()),
+])
+
+
+def _answers(raw: Column | str) -> Column:
+    """The struct of _ANSWER of each answer."""
 
-    @F.pandas_udf(f"parsed struct<{PARSED.replace(' string', ':string')}>, parse_error string")
-    def run(raw: pd.Series) -> pd.DataFrame:
-        out = [parsed(x) for x in raw]
-        names = [x.split()[0] for x in PARSED.split(", ")]
-        blank = dict.fromkeys(names)
-        return pd.DataFrame({"parsed": [d or blank for d, _ in out], "parse_error": [e for _, e in out]})
+    def answer(x: str | None) -> dict:
+        found, error = parsed(x)
+        name = (found or {}).get("counterparty_name")
+        return {"parsed": found or {}, "parse_error": error, "name_form": None if name is None else text.normal_form(name)}
 
-    return rows.withColumn("_p", run(raw_col)).withColumns({"parsed": F.when(F.col("_p.parse_error").isNull(), F.col("_p.parsed")), "parse_error": F.col("_p.parse_error")}).drop("_p")
+    @F.arrow_udf(f"parsed struct<{PARSED.replace(' string', ':string')}>, parse_error string, name_form string")
+    def run(raw: pa.Array) -> pa.Array:
+        parts = (raw.slice(i, text.SLICE).to_pylist() for i in range(0, len(raw), text.SLICE))
+        out = [pa.array([answer(x) for x in part], _ANSWER) for part in parts]
+        return pa.concat_arrays(out) if out else pa.array([], _ANSWER)
+
+    return run(raw)
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the struct ``parsed`` (null if the answer can't be used) and ``parse_error`` out of ``_p``."""
+    return rows.withColumns({"parsed": F.when(F.col("_p.parse_error").isNull(), F.col("_p.parsed")), "parse_error": F.col("_p.parse_error")})
+
+
+def with_parsed(rows: DataFrame, raw_col: str) -> DataFrame:
+    """``rows`` with the struct ``parsed`` (null if the answer can't be used) and ``parse_error``."""
+    return _unpacked(rows.withColumn("_p", _answers(raw_col))).drop("_p")
 
 
 def checked(
@@ -83,15 +104,19 @@ def checked(
     ids must occur in the source; dates and amounts need a source with any date or amount in it; a currency must be
     known, and an amount without one goes too. A blank summary needs repair, which is decided last.
     """
-    p, src = F.col(parsed_col), F.col(source)
+    p, near = F.col(parsed_col), F.col("_near")
     rows = rows.withColumns({
         "_tax": F.nullif(text.digits(p["counterparty_tax_id"]), F.lit("")),
-        "_dates": src.rlike(candidates.DATE),
-        "_amounts": src.rlike(candidates.AMOUNT),
+        "_near": candidates.near_digits(F.col(source)),
         "_currency": text.currency(p["currency"]),
     })
-    name_ok = candidates.occurs_in(p["counterparty_name"], src, F.col(normal_name), F.col(normal_source))
-    tax_ok = candidates.occurs_in(F.col("_tax"), src, F.col("_tax"), F.col(normal_source))
+    rows = rows.withColumns({
+        "_dates": near.rlike(candidates.DATE),
+        "_amounts": near.rlike(candidates.AMOUNT),
+        "_name_ok": candidates.occurs_in(p["counterparty_name"], near, F.col(normal_name), F.col(normal_source)),
+        "_tax_ok": candidates.occurs_in(F.col("_tax"), near, F.col("_tax"), F.col(normal_source)),
+    })
+    name_ok, tax_ok = F.col("_name_ok"), F.col("_tax_ok")
     has = lambda c: p[c].isNotNull()
     number = F.when(F.col("_amounts"), text.amount(p["gross_amount"]))
     orphan = F.col("_currency").isNull() & number.isNotNull()
@@ -120,12 +145,10 @@ def checked(
         "nulled_fields": F.when(repair, F.array().cast("array<string>")).otherwise(nulled),
         "needs_repair": repair,
         "error": F.when(p.isNull(), F.coalesce(F.col(error_col), F.lit("no answer"))).when(blank, "summary is empty"),
-    }).drop("_tax", "_dates", "_amounts", "_currency")
+    }).drop("_tax", "_near", "_dates", "_amounts", "_name_ok", "_tax_ok", "_currency")
 
 
 def validated(rows: DataFrame, raw_col: str, source_col: str) -> DataFrame:
-    """Parse and check answers; normal forms are exact."""
-    out = with_parsed(rows, raw_col).withColumns({"_source": text.normalized(F.col(source_col)), "_name": text.normalized(F.col("parsed.counterparty_name"))})
-    return checked(out, source_col, "_source", "_name").drop("_source", "_name", "parsed", "parse_error")
-
-
+    """Parse and check answers; normal forms are exact. Both go through one pass of Python, and so one worker a task."""
+    out = _unpacked(rows.withColumns({"_p": _answers(raw_col), "_source": text.normalized(F.col(source_col))})).withColumn("_name", F.col("_p.name_form"))
+    return checked(out, source_col, "_source", "_name").drop("_source", "_name", "parsed", "parse_error", "_p")

@@ -34,6 +34,45 @@ def test_normal_form_native_equals_exact(spark):
     assert column(spark, [*TEXTS, None], text.normalized) == [*map(text.normal_form, TEXTS), None]
 
 
+def python_passes(df):
+    """Nodes of a plan that send rows to Python workers; each is a worker of its own in every task."""
+    return str(df._jdf.queryExecution().optimizedPlan().toString()).count("ArrowEvalPython")
+
+
+def test_plain_texts_have_their_normal_form_without_python(spark):
+    plain = re.compile(f"[{text.PLAIN}\\x00-\\x7f]")
+    chars = [chr(c) for c in range(0x30000) if plain.match(chr(c))]
+    assert all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c.casefold() == c.lower().replace("ß", "ss") for c in chars)
+    parts = [unicodedata.decomposition(chr(c)).split() for c in range(0x110000)]
+    assert not any(len(p) == 2 and p[0][0] != "<" and plain.match(chr(int(p[1], 16))) for p in parts)  # none composes with what precedes it
+    cases = ["x" + "y z".join(chars[i : i + 50]) + " \n" for i in range(0, len(chars), 50)]
+    cases += [*TEXTS, "e\u0301 \u2028---\u2029 a", "ΑΣ Σ", "İı", "a\u0085", "\x1f=== \x1d b", "ſ", "x\u2000y", "\U0001f600 A", "--\n---\n----x"]
+    assert column(spark, [*cases, None], text.normalized) == [*map(text.normal_form, cases), None]
+    assert column(spark, cases, text.composed) == [unicodedata.normalize("NFC", x) for x in cases]
+    seen = spark.createDataFrame([(x,) for x in cases], "t string").select(text.plain_text(F.col("t")).alias("p"), "t").collect()
+    assert all(r["p"] == all(plain.match(c) for c in r["t"]) for r in seen)
+
+
+def test_a_worker_holds_few_texts_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} " + "ab" * 10_000 for i in range(2000)] + [None])
+    run = text._mapped("string", str.upper).func
+    tracemalloc.start()
+    out = run(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000 and out[-1].as_py() is None and out[7].as_py() == "7 " + "AB" * 10_000 and run(texts[:0]).to_pylist() == []
+
+
+def test_answers_and_sources_share_a_worker(spark):
+    rows = spark.createDataFrame([("Kraków, 2024-01-05", '{"doc_type": "other", "summary": "A.", "counterparty_name": "KRAKÓW"}')], "s string, r string")
+    out = validation.validated(rows, "r", "s")
+    assert python_passes(out) == 1 and out.first()["counterparty_name"] == "KRAKÓW"
+
+
 def test_scalar_functions(spark):
     assert column(spark, ["5260001246", "8104482459", "6633681957", "12", None], text.tax_id_valid) == [True, True, False, False, False]
     assert column(spark, ["861.005", "-1.005", "1e30", "0.00499999999999", "x", None], text.amount) == [
@@ -88,6 +127,25 @@ def test_amounts_are_those_of_the_plain_pattern(spark):
     assert column(spark, cases, candidates.amounts) == [[m.group() for m in plain.finditer(c)] for c in cases]
 
 
+def far_cases():
+    """Texts in which digits are few, with what patterns look for at all distances from them."""
+    rng = random.Random(4)
+    parts = ["12", "1 234,56 zł", "2024", "526-000-12-46", "NIP", "VAT:  PL ", "March ", "października", " III ", "-", ".", ",", " ", "        ", "         ", "\n", "$", "PLN", "word", "ł", "\ufdd1", "\ufdd0"]
+    fill = lambda: "".join(rng.choice("abcdef  ż.") for _ in range(rng.choice((5, 11, 12, 13, 24, 30, 63, 64, 65, 200))))
+    return ["".join(fill() if rng.random() < 0.3 else rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+
+
+def test_what_is_far_from_digits_is_in_no_candidate(spark):
+    cases = far_cases()
+    near = column(spark, cases, candidates.near_digits)
+    assert sum(map(len, near)) < 0.9 * sum(map(len, cases))
+    for pattern, f in ((candidates.TAX_ID, candidates.tax_ids), (candidates.DATE, candidates.dates), (candidates.AMOUNT_PLAIN, candidates.amounts)):
+        plain = re.compile(pattern.replace("(?iU)", ""), re.I)
+        want = [[m.group() for m in plain.finditer(c)] for c in cases]
+        ten = lambda m: len(re.sub(r"\D", "", m)) == 10
+        assert column(spark, cases, f) == [[m for m in x if f is not candidates.tax_ids or ten(m)] for x in want]
+
+
 @pytest.mark.parametrize("unit", [" ", "1", "1 ", "- ", "123 ", "1,50 ", "1.234", "NIP "])
 def test_candidates_take_linear_time(spark, unit):
     long = unit * (100_000 // len(unit))
