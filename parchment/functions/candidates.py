@@ -24,6 +24,24 @@ AMOUNT = (
     rf"(?:{_CHAIN}\d{{1,3}}(?:[\s.,]\d{{3}})+[.,]\d{{2}}|{_RUN}\d++[.,]\d{{2}})\s*+{fixed.CURRENCY_MARK}?)"
 )
 KEYWORD = "(?iU)(" + "|".join(re.escape(k).replace(r"\ ", " ") for k in fixed.KEYWORDS) + ")"
+#: Letters that are one by Unicode's case, beside capital and small.
+_ALIKE = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
+def _letter(c: str) -> str:
+    return f"[{c.lower()}{c.upper()}{_ALIKE.get(c.lower(), '')}]" if c.isalpha() else re.escape(c).replace(r"\ ", " ")
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern of words, none of which begins another, that branches at their first letters; in any case, without the flags for it."""
+    if len(words) == 1:
+        return "".join(map(_letter, words[0]))
+    heads = dict.fromkeys(w[0] for w in words)
+    return "(?:" + "|".join(_letter(h) + _tree([w[1:] for w in words if w[0] == h]) for h in heads) + ")"
+
+
+#: The same matches as KEYWORD.
+KEYWORD_TREE = f"({_tree([k.lower() for k in fixed.KEYWORDS])})"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -62,7 +80,7 @@ def spans(text: Column, pattern: str, kind: str) -> Column:
     their lengths the starts.
     """
     out = "array<struct<kind:string,start:int,text:string>>"
-    marked = F.regexp_replace(F.translate(text, MARK, "\ufffd"), pattern, f"{MARK}$1{MARK}")
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), pattern, f"{MARK}$1{MARK}")
 
     def found(parts: Column) -> Column:
         one = lambda starts, k: F.struct(F.lit(kind).alias("kind"), starts[2 * k - 1].alias("start"), parts[2 * k - 1].alias("text"))
@@ -100,10 +118,22 @@ def amounts(text: Column) -> Column:
 
 
 def all_spans(text: Column) -> Column:
-    """Tax ids, dates, amounts, in this order of kinds; each of them has a digit."""
-    ids = F.filter(spans(text, TAX_ID, "nip"), lambda x: F.length(digits(x["text"])) == 10)
-    every = F.concat(ids, spans(text, DATE, "date"), spans(text, AMOUNT, "amount"))
-    return F.when(text.rlike(r"(?U)\d"), every).when(text.isNotNull(), F.array().cast("array<struct<kind:string,start:int,text:string>>"))
+    """Tax ids, dates, amounts, in this order of kinds; each of them has a digit, and they are looked for near digits alone."""
+    out = "array<struct<kind:string,start:int,text:string>>"
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(CUT), F.lit("\ufffd")), FAR, f"$1{CUT}$2{CUT}$3"), CUT, -1)
+    parts = F.when(text.rlike(WIDE), F.array(text)).otherwise(pieces)  # near, far, near, ...
+
+    def near(parts: Column, starts: Column) -> Column:
+        def of(pattern: str, kind: str) -> Column:
+            moved = lambda m, k: F.struct(m["kind"].alias("kind"), (m["start"] + starts[2 * k]).alias("start"), m["text"].alias("text"))
+            one = lambda k: F.transform(spans(parts[2 * k], pattern, kind), lambda m: moved(m, k))
+            return F.flatten(F.transform(F.sequence(F.lit(0), ((F.size(parts) - 1) / 2).cast("int")), one))
+
+        ids = F.filter(of(TAX_ID, "nip"), lambda x: F.length(digits(x["text"])) == 10)
+        return F.concat(ids, of(DATE, "date"), of(AMOUNT, "amount"))
+
+    every = once(parts, lambda p: once(running(F.transform(p, F.length)), lambda starts: near(p, starts)))
+    return F.when(text.rlike(r"(?U)\d"), every).when(text.isNotNull(), F.array().cast(out))
 
 
 def occurs_in(value: Column, source: Column, normal_value: Column, normal_source: Column) -> Column:

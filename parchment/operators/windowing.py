@@ -58,7 +58,7 @@ def with_context(rows: DataFrame, clean: str, budget: str, out: str = "context")
         "_region": F.when(F.col("_n") > b, F.expr(f"substring({clean}, _head + 1, _tail - _head)")).otherwise(""),
     })
     starts = lambda x: F.transform(x, lambda m: m["start"])
-    found = F.concat(starts(candidates.spans(F.col("_region"), candidates.KEYWORD, "keyword")), starts(candidates.all_spans(F.col("_region"))))
+    found = F.concat(starts(candidates.spans(F.col("_region"), candidates.KEYWORD_TREE, "keyword")), starts(candidates.all_spans(F.col("_region"))))
     parts = parts.withColumn("_hits", F.array_sort(F.array_distinct(F.transform(found, lambda x: x + F.col("_head")))))
     parts = parts.withColumn("windows", F.when(F.col("_n") > b, selected(F.col("_hits"), F.col("_head"), F.col("_tail"), F.col("_middle"))))
     text = F.col(clean)

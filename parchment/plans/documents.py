@@ -142,7 +142,7 @@ def _starts(kind: str, pattern: str, more: str = "true") -> str:
 )
 def candidate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", marked().alias("t"))
-    every = F.concat(candidates.all_spans(F.col("t")), candidates.spans(F.col("t"), candidates.KEYWORD, "keyword"))
+    every = F.concat(candidates.all_spans(F.col("t")), candidates.spans(F.col("t"), candidates.KEYWORD_TREE, "keyword"))
     return docs.select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.kind", "m.start", F.col("m.text").alias("match"))
 
 

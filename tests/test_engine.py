@@ -53,7 +53,7 @@ def test_plain_texts_have_their_normal_form_without_python(spark):
     assert all(r["p"] == all(plain.match(c) for c in r["t"]) for r in seen)
 
 
-def test_a_worker_holds_few_texts_as_objects():
+def test_a_worker_holds_few_texts_as_objects(spark):
     import tracemalloc
 
     import pyarrow as pa
@@ -146,6 +146,44 @@ def test_what_is_far_from_digits_is_in_no_candidate(spark):
         assert column(spark, cases, f) == [[m for m in x if f is not candidates.tax_ids or ten(m)] for x in want]
 
 
+def test_places_near_digits_are_those_in_the_whole_text(spark):
+    cases = [*far_cases(), "", None]
+    got = column(spark, cases, candidates.all_spans)
+    assert got[-2:] == [[], None]
+    kinds = [("nip", candidates.TAX_ID), ("date", candidates.DATE), ("amount", candidates.AMOUNT_PLAIN)]
+    for case, found in zip(cases[:-2], got, strict=False):
+        want = [(k, m.start(), m.group()) for k, p in kinds for m in re.finditer(p.replace("(?iU)", ""), case, re.I)]
+        assert [(x["kind"], x["start"], x["text"]) for x in found] == [x for x in want if x[0] != "nip" or len(re.sub(r"\D", "", x[2])) == 10], case
+
+
+def test_the_tree_of_keywords_has_the_matches_of_their_list(spark):
+    rng = random.Random(5)
+    like = lambda c: rng.choice([c, c.upper(), c.lower(), *{"i": "İı", "k": "\u212a", "s": "ſ", " ": "\u00a0"}.get(c.lower(), "")])
+    cases = ["".join(like(c) for k in rng.choices(fixed.KEYWORDS, k=5) for c in k[: rng.choice((2, 99, 99))] + rng.choice(("", " "))) for _ in range(2000)]
+    letters = {c for k in fixed.KEYWORDS for c in k.lower() if c.isalpha()}
+    assert column(spark, cases, lambda c: candidates.spans(c, candidates.KEYWORD_TREE, "k")) == column(spark, cases, lambda c: candidates.spans(c, candidates.KEYWORD, "k"))
+    every = "".join(chr(c) for c in range(1, 0xD800))
+    for c in sorted(letters):  # all characters that Java takes for a letter of a keyword
+        assert column(spark, [every], lambda x, c=c: F.regexp_extract_all(x, F.lit(candidates._letter(c)), 0)) == column(spark, [every], lambda x, c=c: F.regexp_extract_all(x, F.lit(f"(?iU){c}"), 0)), c
+
+
+def test_candidates_take_no_long_time_where_digits_are_few(spark):
+    """Per character, the patterns took over twenty times a pass that only looks for digits."""
+    rows = spark.range(400).select(F.concat(F.expr("repeat('some prose of a document without numbers, ', 1000)"), F.lit("12,50 zł"), "id").alias("t")).cache()
+    rows.count()
+
+    def took(f):
+        times = []
+        for _ in range(3):
+            began = time.time()
+            rows.agg(F.sum(F.hash(f(F.col("t"))))).collect()
+            times.append(time.time() - began)
+        return min(times)
+
+    whole = lambda t: F.concat(*[candidates.spans(t, p, "x") for p in (candidates.TAX_ID, candidates.DATE, candidates.AMOUNT)])
+    assert took(candidates.all_spans) < took(whole) / 3
+
+
 @pytest.mark.parametrize("unit", [" ", "1", "1 ", "- ", "123 ", "1,50 ", "1.234", "NIP "])
 def test_candidates_take_linear_time(spark, unit):
     long = unit * (100_000 // len(unit))
