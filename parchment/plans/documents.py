@@ -217,8 +217,10 @@ ITEM_BYTES = 1 << 24
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id)`` of every item that is a part of a document, both by their normal forms."""
-    n = docs.where("text is not null").select("doc_id", text.normalized(F.col("text")).alias("n"))
-    v = items.where("text is not null").select("item_id", text.normalized(F.col("text")).alias("v")).where("v <> ''")
+    # by Python throughout: generated code of the join would work out a native normal form again for every pair
+    form = text._mapped("string", text.normal_form)
+    n = docs.where("text is not null").select("doc_id", F.coalesce(form(F.col("text")), F.lit("")).alias("n"))
+    v = items.where("text is not null").select("item_id", form(F.col("text")).alias("v")).where("v <> ''")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = 1 + size // ITEM_BYTES
     part = lambda k: F.broadcast(v.where(F.pmod(F.xxhash64("v"), F.lit(passes)) == k))
@@ -242,7 +244,7 @@ def values_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.lit("benchmark").alias("kind"), F.col("item_id").cast("string").alias("value"))
     two = lambda d: F.lpad((d % 100).cast("string"), 2, "0")
     values = F.array(F.concat(F.lit("526000"), two(F.col("doc_id")), F.lit("46")), F.concat(F.lit("PL 526 000 "), two(F.col("doc_id") + 1), F.lit(" 46")))
-    ids = docs.select("doc_id", marked().alias("t")).select("doc_id", "t", text.normalized(F.col("t")).alias("n"))
+    ids = docs.select("doc_id", marked().alias("t")).select("doc_id", "t", text._mapped("string", text.normal_form)(F.col("t")).alias("n"))
     ids = ids.withColumn("value", F.explode(values)).where(candidates.occurs_in(F.col("value"), F.col("t"), F.lower("value"), F.col("n")))
     return items.unionByName(ids.select("doc_id", F.lit("tax_id").alias("kind"), "value"))
 
